@@ -106,15 +106,59 @@ def _sparse_products(left: pa.Table, right: pa.Table):
     return dots, l_sq, r_sq
 
 
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(_column(table, name).flatten())
+
+
+def _slot_products(left: pa.Table, right: pa.Table):
+    """The same for rows of numbered slots, where repeated slots add up."""
+    sides = []
+    for table in (left, right):
+        rows = _row_numbers(_column(table, "slots"))
+        slots = _flat(table, "slots").astype(np.int64)
+        sides.append((rows, slots, _flat(table, "weights"), table.num_rows))
+    width = 1 + max((int(s[1].max()) for s in sides if len(s[1])), default=0)
+    dots, l_sq, r_sq = 0.0, 0.0, 0.0
+    for lo in range(0, width, COLUMN_CHUNK):
+        hi = min(lo + COLUMN_CHUNK, width)
+        parts = []
+        for rows, slots, weights, n in sides:
+            here = (slots >= lo) & (slots < hi)
+            parts.append(
+                _scatter(rows[here], slots[here] - lo, weights[here], n, hi - lo)
+            )
+        a, b = parts
+        dots = dots + a @ b.T
+        l_sq, r_sq = l_sq + (a * a).sum(axis=1), r_sq + (b * b).sum(axis=1)
+    return dots, l_sq, r_sq
+
+
+def _projected(table: pa.Table, dim: int, draws, prime: int) -> np.ndarray:
+    """Coded sparse rows under one random projection, as a dense matrix."""
+    rows, codes = _row_numbers(_column(table, "codes")), _flat(table, "codes")
+    weights = _flat(table, "weights") / np.sqrt(len(draws))
+    high, low = codes >> 30, codes & ((1 << 30) - 1)
+    out = np.zeros((table.num_rows, dim))
+    for a, b, c, d in draws:
+        sign = 1 - 2 * ((c * low + d) % prime % 2)
+        slot = (a * high + b) % prime % dim
+        out += _scatter(rows, slot, weights * sign, table.num_rows, dim)
+    return out
+
+
 def products(left: pa.Table, right: pa.Table):
+    if "slots" in left.column_names:
+        return _slot_products(left, right)
     if "vec" in left.column_names:
-        a, b = _dense_matrix(left), _dense_matrix(right)
-        return a @ b.T, (a * a).sum(axis=1), (b * b).sum(axis=1)
+        return _matrix_products(_dense_matrix(left), _dense_matrix(right))
     return _sparse_products(left, right)
 
 
-def distances(left: pa.Table, right: pa.Table, metric: str) -> np.ndarray:
-    dots, l_sq, r_sq = products(left, right)
+def _matrix_products(a: np.ndarray, b: np.ndarray):
+    return a @ b.T, (a * a).sum(axis=1), (b * b).sum(axis=1)
+
+
+def distances(dots, l_sq, r_sq, metric: str) -> np.ndarray:
     if metric == "cosine":
         scale = np.sqrt(np.outer(l_sq, r_sq))
         out = np.ones_like(dots)
@@ -141,57 +185,114 @@ def _membership(table: pa.Table, codes: dict[int, int]) -> np.ndarray:
     return out
 
 
+def _best_per_split(dist, test_in, train_in, k):
+    """Index arrays (split code, query, training row) of the k best rows of
+    every query in every split that tests it."""
+    s_idx, q_idx, t_idx = [], [], []
+    for q in np.flatnonzero(test_in.any(axis=0)):
+        folds = np.flatnonzero(test_in[:, q])
+        order = np.argsort(dist[q], kind="stable")
+        member = train_in[np.ix_(folds, order)]
+        chosen = member & (np.cumsum(member, axis=1) <= k)
+        f, pos = np.nonzero(chosen)
+        t_idx.append(order[pos])
+        s_idx.append(folds[f])
+        q_idx.append(np.full(len(f), q))
+    if not q_idx:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    return np.concatenate(s_idx), np.concatenate(q_idx), np.concatenate(t_idx)
+
+
+def _rows(left, right, schema, by, q_idx, t_idx, dist, numbers):
+    """The chosen pairs as an Arrow table."""
+    finite = np.isfinite(dist)
+    q_pick, t_pick = pa.array(q_idx[finite]), pa.array(t_idx[finite])
+    columns = {c: _column(left, c).take(q_pick) for c in by}
+    columns |= {name: pa.array(v[finite]) for name, v in numbers.items()}
+    columns["query_id"] = _column(left, "id").take(q_pick)
+    columns["train_id"] = _column(right, "id").take(t_pick)
+    if "query_label" in schema.names:
+        columns["query_label"] = _column(left, "label").take(q_pick)
+    if "label" in schema.names:
+        columns["label"] = _column(right, "label").take(t_pick)
+    columns["distance"] = pa.array(dist[finite])
+    return pa.table([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
 def nearest_in_block(left, right, *, k, metric, by, with_splits, exclude_self, schema):
     """The k nearest rows of this training block for every row of this query
     block (once per split both belong to), as an Arrow table."""
     if left.num_rows == 0 or right.num_rows == 0:
         return pa.Table.from_pylist([], schema=schema)
     right = right.sort_by("id")  # position order is id order: ties need no key
-    n_left, n_right = left.num_rows, right.num_rows
-    dist = distances(left, right, metric)
+    dist = distances(*products(left, right), metric)
     if exclude_self:
         same = pc.index_in(_column(left, "id"), value_set=_column(right, "id"))
         hit = np.asarray(same.is_valid())
         dist[hit, np.asarray(same.fill_null(0))[hit]] = np.inf
 
+    numbers = {}
     if with_splits:
-        flat = np.unique(np.asarray(_column(left, "splits").flatten()))
-        codes = {int(s): i for i, s in enumerate(flat)}
-        test_in, train_in = _membership(left, codes), _membership(right, codes)
-        q_idx, t_idx, s_idx = [], [], []
-        for q in range(n_left):
-            folds = np.flatnonzero(test_in[:, q])
-            order = np.argsort(dist[q], kind="stable")
-            member = train_in[np.ix_(folds, order)]
-            chosen = member & (np.cumsum(member, axis=1) <= k)
-            f, pos = np.nonzero(chosen)
-            t_idx.append(order[pos])
-            s_idx.append(folds[f])
-            q_idx.append(np.full(len(f), q))
-        q_idx, t_idx = np.concatenate(q_idx), np.concatenate(t_idx)
-        splits = flat[np.concatenate(s_idx)]
+        listed = np.unique(_flat(left, "splits"))
+        codes = {int(s): i for i, s in enumerate(listed)}
+        s_idx, q_idx, t_idx = _best_per_split(
+            dist, _membership(left, codes), _membership(right, codes), k
+        )
+        numbers["split"] = listed[s_idx]
     else:
-        width = min(k, n_right)
+        width = min(k, right.num_rows)
         order = np.argsort(dist, axis=1, kind="stable")[:, :width]
-        q_idx = np.repeat(np.arange(n_left), width)
+        q_idx = np.repeat(np.arange(left.num_rows), width)
         t_idx = order.reshape(-1)
-        splits = None
+    return _rows(left, right, schema, by, q_idx, t_idx, dist[q_idx, t_idx], numbers)
 
-    d = dist[q_idx, t_idx]
-    finite = np.isfinite(d)
-    q_idx, t_idx, d = q_idx[finite], t_idx[finite], d[finite]
-    q_pick, t_pick = pa.array(q_idx), pa.array(t_idx)
-    columns = {c: _column(left, c).take(q_pick) for c in by}
-    if splits is not None:
-        columns["split"] = pa.array(splits[finite])
-    columns["query_id"] = _column(left, "id").take(q_pick)
-    if "query_label" in schema.names:
-        columns["query_label"] = _column(left, "label").take(q_pick)
-    columns["train_id"] = _column(right, "id").take(t_pick)
-    if "label" in schema.names:
-        columns["label"] = _column(right, "label").take(t_pick)
-    columns["distance"] = pa.array(d)
-    return pa.table([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+def nearest_under_projections(
+    left, right, *, k, metric, by, settings, draws, prime, stride, schema
+):
+    """As above for coded rows under several random projections.
+
+    Row columns ``dims`` and ``n_draws`` give the size of each projection in
+    this group, ``settings[i]`` the draws to use for the i-th.  With ``stride``
+    0 every projection serves all splits; otherwise projection i serves the
+    splits from ``i * stride`` on, ``stride`` of them.
+    """
+    if left.num_rows == 0 or right.num_rows == 0:
+        return pa.Table.from_pylist([], schema=schema)
+    right = right.sort_by("id")
+    dims, counts = _column(left, "dims")[0].as_py(), _column(left, "n_draws")[0].as_py()
+    listed = np.unique(_flat(left, "splits"))
+    found = []
+    for i, key in enumerate(settings):
+        used = listed if stride == 0 else listed[listed // stride == i]
+        if len(used) == 0:
+            continue
+        codes = {int(s): j for j, s in enumerate(used)}
+        test_in, train_in = _membership(left, codes), _membership(right, codes)
+        q_here = np.flatnonzero(test_in.any(axis=0))
+        t_here = np.flatnonzero(train_in.any(axis=0))
+        if len(q_here) == 0 or len(t_here) == 0:
+            continue
+        sides = [
+            _projected(side.take(pa.array(here)), dims[i], draws[key][: counts[i]], prime)
+            for side, here in ((left, q_here), (right, t_here))
+        ]
+        dist = distances(*_matrix_products(*sides), metric)
+        s_idx, q_idx, t_idx = _best_per_split(
+            dist, test_in[:, q_here], train_in[:, t_here], k
+        )
+        numbers = {
+            "setting": np.full(len(s_idx), i, dtype=np.int64),
+            "split": used[s_idx],
+        }
+        found.append(
+            _rows(
+                left, right, schema, by,
+                q_here[q_idx], t_here[t_idx], dist[q_idx, t_idx], numbers,
+            )
+        )
+    return pa.concat_tables(found) if found else pa.Table.from_pylist([], schema=schema)
 
 
 # Workers get these functions by value, so they need no copy of the package.

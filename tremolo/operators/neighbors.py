@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour join.
 
-A vector table has the columns ``id`` and either ``terms ARRAY<STRING>,
-weights ARRAY<DOUBLE>`` (sparse) or ``vec ARRAY<…>`` (dense), plus any grouping
-columns.  Neighbours are searched inside a group only.
+A vector table has the columns ``id`` and one of ``terms ARRAY<STRING>, weights
+ARRAY<DOUBLE>`` (sparse), ``slots ARRAY<INT>, weights`` (projected) or ``vec
+ARRAY<…>`` (dense), plus any grouping columns.  Neighbours are searched inside a
+group only.
 
 How it is distributed
 ---------------------
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.materialize import materialize
-from ._block_kernel import nearest_in_block
+from ._block_kernel import nearest_in_block, nearest_under_projections
+from .projection import PRIME, draw_functions
 
 METRICS = ("cosine", "euclidean")
 MAX_BLOCK_ROWS = 4096  # bounds the distance matrix one task holds
@@ -83,67 +85,137 @@ def knn_join(
     """
     _validated(k, metric)
     by = list(by or [])
-    vector = ["vec"] if "vec" in queries.columns else ["terms", "weights"]
+    vector = vector_columns(queries)
     extra = ["splits"] if with_splits else []
     q_label = ["label"] if "label" in queries.columns else []
     t_label = ["label"] if "label" in train.columns else []
-    keys = by or ["_all"]
-    if not by:
-        queries = queries.withColumn("_all", F.lit(0))
-        train = train.withColumn("_all", F.lit(0))
-
-    # One row per group.  Written out so that its true size decides whether
-    # the joins below broadcast it.
-    size = block_count(F.count(F.lit(1)), F.sum(F.size(vector[0])))
-    blocks = materialize(
-        queries.groupBy(*keys)
-        .agg(size.alias("_nq"))
-        .join(train.groupBy(*keys).agg(size.alias("_nt")), keys),
-        "blocks",
+    size = F.size(vector[0])
+    pairs = _Pairs(queries, train, by, size, [*vector, *extra], q_label, t_label)
+
+    schema = _result_schema(queries, train, by, ["split"] if with_splits else [])
+    kernel = partial(
+        nearest_in_block,
+        k=k,
+        metric=metric,
+        by=by,
+        with_splits=with_splits,
+        exclude_self=exclude_self,
+        schema=to_arrow_schema(schema),
     )
 
-    def cut(side: DataFrame, own: str, other: str, n_own: str, n_other: str):
-        salt = F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int")
-        return (
-            side.join(blocks, keys)
-            .withColumn(own, salt)
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-        )
+    return top_k(
+        pairs.run(kernel, schema), k, [*by, *(["split"] if with_splits else [])]
+    )
 
-    q = cut(queries, "_qb", "_tb", "_nq", "_nt")
-    t = cut(train, "_tb", "_qb", "_nt", "_nq")
-    q = q.select(*keys, "_qb", "_tb", "id", *q_label, *vector, *extra)
-    t = t.select(*keys, "_qb", "_tb", "id", *t_label, *vector, *extra)
-    t = t.select(*[F.col(c).alias(c) for c in t.columns])  # own column identities
 
-    fields = [(c, queries.schema[c].dataType) for c in by]
-    if with_splits:
-        fields.append(("split", T.IntegerType()))
-    fields.append(("query_id", queries.schema["id"].dataType))
-    if q_label:
-        fields.append(("query_label", queries.schema["label"].dataType))
-    fields.append(("train_id", train.schema["id"].dataType))
-    if t_label:
-        fields.append(("label", train.schema["label"].dataType))
-    fields.append(("distance", T.DoubleType()))
-    schema = T.StructType([T.StructField(name, kind, True) for name, kind in fields])
+def projected_knn_join(
+    rows: DataFrame,
+    k: int,
+    *,
+    seed: int,
+    settings: list[int],
+    max_draws: int,
+    metric: str = "cosine",
+    by: list[str] | None = None,
+    stride: int = 0,
+) -> DataFrame:
+    """Neighbours over splits under several random projections, in one pass:
+    ``(*by, setting, split, query_id, query_label, train_id, label, distance,
+    rank)``.
+
+    ``rows`` is ``(*by, id, label, codes, weights, dims, n_draws, test_in,
+    train_in)``: coded sparse vectors, the size of each projection, and the
+    splits that test or train on the row.  Only these rows move; they are
+    projected where their blocks meet, once per setting, so thirty projections
+    cost no more shuffling than one.  See the kernel for ``stride``.
+    """
+    _validated(k, metric)
+    by = list(by or [])
+
+    def side(column: str) -> DataFrame:
+        return rows.withColumn("splits", F.col(column)).where(F.size("splits") > 0)
 
+    queries, train = side("test_in"), side("train_in")
+    size = F.greatest(F.size("codes"), F.array_max("dims"))
+    carried = ["codes", "weights", "dims", "n_draws", "splits"]
+    pairs = _Pairs(queries, train, by, size, carried, ["label"], ["label"])
+    schema = _result_schema(queries, train, by, ["setting", "split"])
     kernel = partial(
-        nearest_in_block,
+        nearest_under_projections,
         k=k,
         metric=metric,
         by=by,
-        with_splits=with_splits,
-        exclude_self=exclude_self,
+        settings=settings,
+        draws={key: draw_functions(seed, key, max_draws) for key in set(settings)},
+        prime=PRIME,
+        stride=stride,
         schema=to_arrow_schema(schema),
     )
+    return top_k(pairs.run(kernel, schema), k, [*by, "setting", "split"])
 
-    def run(left, right):
-        return kernel(left, right)
 
-    pair = [*keys, "_qb", "_tb"]
-    local_best = q.groupBy(*pair).cogroup(t.groupBy(*pair)).applyInArrow(run, schema)
-    return top_k(local_best, k, [*by, *(["split"] if with_splits else [])])
+def vector_columns(table: DataFrame) -> list[str]:
+    """The vector columns of a table, whichever form they have."""
+    for form in (["vec"], ["terms", "weights"], ["slots", "weights"]):
+        if set(form) <= set(table.columns):
+            return form
+    raise ValueError(f"no vector columns among {table.columns}")
+
+
+def _result_schema(queries, train, by: list[str], numbers: list[str]) -> T.StructType:
+    fields = [(c, queries.schema[c].dataType) for c in by]
+    fields += [(c, T.IntegerType()) for c in numbers]
+    fields.append(("query_id", queries.schema["id"].dataType))
+    if "label" in queries.columns:
+        fields.append(("query_label", queries.schema["label"].dataType))
+    fields.append(("train_id", train.schema["id"].dataType))
+    if "label" in train.columns:
+        fields.append(("label", train.schema["label"].dataType))
+    fields.append(("distance", T.DoubleType()))
+    return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
+
+
+class _Pairs:
+    """Both sides cut into blocks and brought together block by block."""
+
+    def __init__(self, queries, train, by, size, carried, q_label, t_label):
+        keys = by or ["_all"]
+        if not by:
+            queries = queries.withColumn("_all", F.lit(0))
+            train = train.withColumn("_all", F.lit(0))
+        # One row per group.  Written out so that its true size decides whether
+        # the joins below broadcast it.
+        n_blocks = block_count(F.count(F.lit(1)), F.sum(size))
+        blocks = materialize(
+            queries.groupBy(*keys)
+            .agg(n_blocks.alias("_nq"))
+            .join(train.groupBy(*keys).agg(n_blocks.alias("_nt")), keys),
+            "blocks",
+        )
+
+        def cut(side: DataFrame, own: str, other: str, n_own: str, n_other: str):
+            salt = F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int")
+            partners = F.sequence(F.lit(0), F.col(n_other) - 1)
+            return (
+                side.join(blocks, keys)
+                .withColumn(own, salt)
+                .withColumn(other, F.explode(partners))
+            )
+
+        self.key = [*keys, "_qb", "_tb"]
+        q = cut(queries, "_qb", "_tb", "_nq", "_nt")
+        t = cut(train, "_tb", "_qb", "_nt", "_nq")
+        self.q = q.select(*self.key, "id", *q_label, *carried)
+        # New column identities: both sides often come from one table.
+        t = t.select(*self.key, "id", *t_label, *carried)
+        self.t = t.select(*[F.col(c).alias(c) for c in t.columns])
+
+    def run(self, kernel, schema: T.StructType) -> DataFrame:
+        def run(left, right):
+            return kernel(left, right)
+
+        q, t = self.q.groupBy(*self.key), self.t.groupBy(*self.key)
+        return q.cogroup(t).applyInArrow(run, schema)
 
 
 def top_k(candidates: DataFrame, k: int, by: list[str]) -> DataFrame:

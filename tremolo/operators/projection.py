@@ -1,25 +1,32 @@
-"""Sparse random projection of posting tables.
-
-Entries come from a seeded hash of the term, so fitting stores nothing but the
-seed, the target dimension and the number of features, and new rows meet the
-same entries.  Two variants:
-
-* ``draws`` (default): every term gets ``m = max(1, round(dim / sqrt(features)))``
-  signed slots scaled by ``1 / sqrt(m)``.  This fixes the non-zeros per term at
-  what a matrix of density ``1 / sqrt(features)`` has on average.
-* ``tests``: every (term, slot) cell is tested, non-zero with probability
-  ``1 / sqrt(features)``, value ``± sqrt(sqrt(features) / dim)``.  The classical
-  distribution, at ``dim`` hashes per posting.
+"""Sparse random projection.
+
+Every term has a 60-bit code, its hash.  A *draw* is a pair of linear functions
+of the code's two halves modulo a prime: one picks the term's slot, the other
+its sign.  A term makes ``m = max(1, round(dim / sqrt(features)))`` draws of
+weight ``1 / sqrt(m)``: the non-zeros per term that a matrix of density
+``1 / sqrt(features)`` has on average (there the number varies by term).
+
+A fitted projection is therefore nothing but the seed, the dimension and the
+number of features: new rows meet the same entries, and another projection (one
+per split, say) costs a few multiplications per term instead of new hashes.
+
+:func:`cell_tests` is the classical variant that tests every (term, slot) cell,
+at ``dim`` hashes per posting.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import HASH_RANGE, as_column, digest, hash32_of
+from ..functions.hashing import HASH_RANGE, digest, hash32_of
+
+CODE_DIGITS = 15  # hexadecimal digits of a term's code: 60 bits
+HALF = 1 << 30
+PRIME = 2147483647  # larger than both halves of a code
 
 
 def jl_dim(n_rows: int, eps: float) -> int:
@@ -54,81 +61,111 @@ def draws_per_term(dim: Column, n_features: Column) -> Column:
     return F.greatest(F.lit(1), per_term.cast("int"))
 
 
-def spread_by(postings: DataFrame, keys: list[str]) -> DataFrame:
-    """Postings partitioned by text, as many ways as the session's shuffles.
+def n_draws(dim: int, n_features: int) -> int:
+    return max(1, math.floor(dim / math.sqrt(n_features) + 0.5))
 
-    The projection multiplies rows inside each partition, so the number is
-    explicit: partitions sized by the small input would be coalesced to too
-    few.  All later aggregates per text reuse this one exchange.
-    """
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(n, *keys)
+
+def draw_functions(seed: int, key: int, count: int) -> list[tuple[int, int, int, int]]:
+    """``count`` draws ``(a, b, c, d)`` of the projection named ``key``: slot
+    ``(a·high + b) mod PRIME mod dim`` and sign ``(c·low + d) mod PRIME mod 2``."""
+    out = []
+    for i in range(count):
+        h = hashlib.md5(f"{seed}|{key}|{i}".encode()).hexdigest()
+        a, b, c, d = (int(h[j : j + 8], 16) for j in range(0, 32, 8))
+        out.append((a % (PRIME - 1) + 1, b % PRIME, c % (PRIME - 1) + 1, d % PRIME))
+    return out
 
 
-def project(
-    postings: DataFrame,
-    keys: list[str],
-    weight: str,
-    dim: int | Column,
-    n_features: int | Column,
-    seed: list,
-    method: str = "draws",
+def term_code(term: Column) -> Column:
+    return F.conv(F.substring(F.md5(term), 1, CODE_DIGITS), 16, 10).cast("bigint")
+
+
+def with_codes(vectors: DataFrame) -> DataFrame:
+    """Sparse vectors with codes in the place of their terms."""
+    return vectors.withColumn("codes", F.transform("terms", term_code)).drop("terms")
+
+
+def project_vectors(
+    vectors: DataFrame, dim: int, n_features: int, seed: int, key: int = 0
 ) -> DataFrame:
-    """``(*keys, slot, value)`` from ``(*keys, term, weight)``; ``postings``
-    should be spread by (some of) ``keys``, see :func:`spread_by`.
+    """Replace ``terms, weights`` by ``slots ARRAY<INT>, weights``.
 
-    ``dim``, ``n_features`` and the parts of ``seed`` may be columns, so that
-    many groups with their own projections run in one plan.  A NULL term (a
-    text without terms) stays as one row with a NULL slot.  Slots are summed
-    per text, which the partitioning by ``keys`` already serves.
+    A slot may occur more than once in a row; its value is the sum.  This is a
+    projection of each row by itself: no shuffle.
     """
-    dim, n_features = as_column(dim), as_column(n_features)
-    term = F.col("term")
-    if method == "draws":
-        count = draws_per_term(dim, n_features)
-        scale = F.lit(1.0) / F.sqrt(count.cast("double"))
-    elif method == "tests":
-        count = dim
-        scale = F.sqrt(F.sqrt(n_features.cast("double")) / dim)
-    else:
-        raise ValueError(f"method must be 'draws' or 'tests', not {method!r}")
-
-    rows = postings.withColumns({"_dim": dim, "_scale": scale, "_count": count})
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    rows = rows.withColumn("_h", digest(*seed, term, F.col("_i")))
-    # The first eight digits choose, the ninth gives the sign.
-    if method == "draws":
-        slot = (hash32_of(F.col("_h")) % F.col("_dim")).cast("int")
-        rows = rows.where(term.isNotNull() | (F.col("_i") == 0))
-    else:
-        slot = F.col("_i")
-        limit = F.lit(float(HASH_RANGE)) / F.sqrt(n_features.cast("double"))
-        kept = hash32_of(F.col("_h")).cast("double") < limit
-        rows = rows.where(F.when(term.isNull(), F.col("_i") == 0).otherwise(kept))
-    sign = F.when(F.substring("_h", 9, 1) < "8", 1.0).otherwise(-1.0)
-    return (
-        rows.withColumn("slot", F.when(term.isNotNull(), slot))
-        .withColumn("_v", sign * F.col(weight))
-        .groupBy(*keys, "slot", "_scale")
-        .agg(F.sum("_v").alias("_sum"))
-        .select(*keys, "slot", (F.col("_sum") * F.col("_scale")).alias("value"))
+    m = n_draws(dim, n_features)
+    draws = F.array(
+        *[
+            F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("abcd", f)])
+            for f in draw_functions(seed, key, m)
+        ]
     )
 
+    def slot(f: Column, code: Column) -> Column:
+        high = F.shiftright(code, 30)
+        return ((f["a"] * high + f["b"]) % PRIME % dim).cast("int")
+
+    def signed(f: Column, code: Column, w: Column) -> Column:
+        low = code.bitwiseAND(F.lit(HALF - 1))
+        odd = (f["c"] * low + f["d"]) % PRIME % 2 == 1
+        return F.when(odd, -w).otherwise(w) * F.lit(1.0 / math.sqrt(m))
 
-def as_postings(projected: DataFrame, keys: list[str]) -> DataFrame:
-    """Projected values in posting form, ready for ``sparse_vectors``."""
-    return projected.select(
-        *keys, F.col("slot").cast("string").alias("term"), F.col("value").alias("w")
+    rows = with_codes(vectors).withColumn("_draws", draws)
+    slots = F.flatten(
+        F.transform("_draws", lambda f: F.transform("codes", lambda x: slot(f, x)))
+    )
+    weights = F.flatten(
+        F.transform(
+            "_draws",
+            lambda f: F.zip_with("codes", "weights", lambda x, w: signed(f, x, w)),
+        )
+    )
+    return rows.withColumns({"slots": slots, "weights": weights}).drop("codes", "_draws")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """As many partitions as the session's shuffles have.  The work per row of
+    a vector table is large, so partitions sized by bytes would be too few."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n)
+
+
+def slot_values(projected: DataFrame, keys: list[str]) -> DataFrame:
+    """Projected rows in long form: ``(*keys, slot, value)``."""
+    entry = F.inline(F.arrays_zip("slots", "weights")).alias("slot", "_w")
+    rows = projected.select(*keys, entry)
+    return rows.groupBy(*keys, "slot").agg(F.sum("_w").alias("value"))
+
+
+def cell_tests(
+    postings: DataFrame, keys: list[str], weight: str, dim: int, n_features: int,
+    seed: int,
+) -> DataFrame:
+    """``(*keys, slot, value)`` of the classical sparse projection: every cell
+    is non-zero with probability ``1 / sqrt(features)`` and then has the value
+    ``± sqrt(sqrt(features) / dim)``."""
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings.where(F.col("term").isNotNull()).repartition(n, *keys)
+    rows = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
+    rows = rows.withColumn("_h", digest(seed, F.col("term"), F.col("slot")))
+    kept = hash32_of(F.col("_h")).cast("double") < HASH_RANGE / math.sqrt(n_features)
+    sign = F.when(F.substring("_h", 9, 1) < "8", 1.0).otherwise(-1.0)
+    scale = math.sqrt(math.sqrt(n_features) / dim)
+    return (
+        rows.where(kept)
+        .groupBy(*keys, "slot")
+        .agg((F.sum(sign * F.col(weight)) * F.lit(scale)).alias("value"))
     )
 
 
 def project_dense(
-    vectors: DataFrame, keys: list[str], dim: int, n_features: int, seed: list, vec: str
+    vectors: DataFrame, vec: str, dim: int, n_features: int, seed: int
 ) -> DataFrame:
     """Projection of dense arrays: position numbers take the place of terms."""
-    postings = vectors.select(*keys, F.posexplode(vec).alias("_pos", "w")).select(
-        *keys,
-        F.col("_pos").cast("string").alias("term"),
-        F.col("w").cast("double").alias("w"),
+    positions = F.transform(
+        F.sequence(F.lit(0), F.size(vec) - 1), lambda i: i.cast("string")
+    )
+    sparse = vectors.withColumns(
+        {"terms": positions, "weights": F.col(vec).cast("array<double>")}
     )
-    return project(postings, keys, "w", dim, n_features, seed)
+    return project_vectors(sparse.drop(vec), dim, n_features, seed)

@@ -15,7 +15,7 @@ from ..sources.materialize import materialize
 class Vectors:
     """A vector table and how it came about."""
 
-    table: DataFrame  # (id, terms, weights)
+    table: DataFrame  # (id, terms, weights), or (id, slots, weights) if projected
     dim: int | None  # None: raw counts
     n_features: int
     n_rows: int
@@ -30,47 +30,47 @@ def vectorize(
     together for the base algorithm's ``fit on everything``, or use
     :func:`vectorize_split` to fit on the training rows.
     """
-    counts = materialize(postings.term_counts(docs, ["id"], outer=True), "counts")
-    return _from_counts(counts, counts, dim, eps, seed)
+    rows = materialize(count_vectors(docs), "vectors")
+    return _projected(rows, rows, dim, eps, seed)
 
 
 def vectorize_split(
     train: DataFrame, test: DataFrame, dim: int = 0, eps: float = 0.3, seed: int = 0
 ) -> tuple[Vectors, Vectors]:
     """Fit on ``train`` alone; ``test`` keeps only terms seen in training."""
-    fitted = materialize(postings.term_counts(train, ["id"], outer=True), "counts")
-    other = postings.term_counts(test, ["id"], outer=True)
-    known = postings.in_vocabulary(other, postings.vocabulary(fitted), ["id"])
+    fitted = materialize(count_vectors(train), "vectors")
+    terms = fitted.select("id", F.explode("terms").alias("term"))
+    other = postings.term_counts(test, ["id"])
+    known = postings.in_vocabulary(other, postings.vocabulary(terms), ["id"])
     empty = test.select(
         "id", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")
     )
-    known = materialize(known.unionByName(empty), "counts")
+    rows = postings.sparse_vectors(known.unionByName(empty), ["id"], "tf")
     return (
-        _from_counts(fitted, fitted, dim, eps, seed),
-        _from_counts(known, fitted, dim, eps, seed),
+        _projected(fitted, fitted, dim, eps, seed),
+        _projected(materialize(rows, "vectors"), fitted, dim, eps, seed),
     )
 
 
-def _from_counts(
-    counts: DataFrame, fitted: DataFrame, dim: int, eps: float, seed: int
+def count_vectors(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or ["id"]
+    counts = postings.term_counts(docs, keys, outer=True)
+    return postings.sparse_vectors(counts, keys, "tf")
+
+
+def _projected(
+    rows: DataFrame, fitted: DataFrame, dim: int, eps: float, seed: int
 ) -> Vectors:
-    size = fitted.agg(
-        F.count_distinct("id").alias("n"), F.count_distinct("term").alias("terms")
-    ).first()
-    if size["terms"] == 0:
+    n_rows = fitted.count()
+    n_terms = fitted.select(F.explode("terms").alias("term")).distinct().count()
+    if n_terms == 0:
         raise ValueError("empty vocabulary: no text has a token")
-    target = projection.target_dim(size["n"], eps, dim)
-    if target is None:
-        table = postings.sparse_vectors(counts, ["id"], "tf")
-    else:
-        slots = projection.project(
-            projection.spread_by(counts, ["id"]),
-            ["id"], "tf", target, size["terms"], [seed],
-        )
-        table = postings.sparse_vectors(
-            projection.as_postings(slots, ["id"]), ["id"], "w"
+    target = projection.target_dim(n_rows, eps, dim)
+    if target is not None:
+        rows = projection.project_vectors(
+            projection.spread(rows), target, n_terms, seed
         )
-    return Vectors(table, target, size["terms"], size["n"])
+    return Vectors(rows, target, n_terms, n_rows)
 
 
 def classify(

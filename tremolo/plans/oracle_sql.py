@@ -72,6 +72,26 @@ def draws(dim: str, n_terms: str) -> str:
     return f"greatest(1, floor({dim} / sqrt({n_terms}::DOUBLE) + 0.5)::INTEGER)"
 
 
+PRIME = "2147483647"
+CODE = "('0x' || substr(md5(term), 1, 15))::BIGINT"
+
+
+def functions(seed: int, projections: int, most: str) -> str:
+    """``fun (split, i, a, b, c, d)``: the draws of each projection."""
+
+    def part(start: int, extra: str) -> str:
+        return f"('0x' || substr(h, {start}, 8))::BIGINT % {extra}"
+
+    return f"""fun AS (SELECT split, i, {part(1, '2147483646 + 1')} AS a,
+  {part(9, PRIME)} AS b, {part(17, '2147483646 + 1')} AS c, {part(25, PRIME)} AS d
+  FROM (SELECT split, i, md5(concat_ws('|', {seed}, split, i)) AS h
+  FROM range({projections}) r(split), (SELECT unnest(range({most})) AS i)))"""
+
+
+SLOT = f"((a * (x // 1073741824) + b) % {PRIME}) % dim"
+SIGNED = f"CASE WHEN ((c * (x % 1073741824) + d) % {PRIME}) % 2 = 1 THEN -tf ELSE tf END"
+
+
 def projected(eps: list[float], seed: int, refit: int = 0) -> str:
     """``vecs (project, eps, [split,] id, vec, scale)``: dense lists of whole
     numbers; multiply by ``scale`` for the projected values.  eps 0 is left to
@@ -79,23 +99,21 @@ def projected(eps: list[float], seed: int, refit: int = 0) -> str:
     listed = ", ".join(f"{e}::DOUBLE" for e in eps if e > 0)
     again = f", range({refit}) r(split)" if refit else ""
     s = "split, " if refit else ""
-    digest = f"md5(concat_ws('|', {seed}, {s}term, i))"
+    g = "g.split, " if refit else ""
     return f"""dims AS (SELECT project, eps, n_rows, n_terms, {jl('n_rows', 'eps')} AS dim
   FROM sizes, (SELECT unnest([{listed}]) AS eps)),
 draw AS (SELECT *, {draws('dim', 'n_terms')} AS m FROM dims),
-spread AS (SELECT project, eps, {s}id, tf, dim, {digest} AS h
-  FROM (SELECT * FROM (SELECT c.project, c.id, c.term, c.tf, d.eps, d.dim,
-    {s}unnest(range(d.m)) AS i FROM counts c JOIN draw d USING (project){again}))),
-slots AS (SELECT project, eps, {s}id, ('0x' || substr(h, 1, 8))::BIGINT % dim AS slot,
-  sum(CASE WHEN substr(h, 9, 1) < '8' THEN tf ELSE -tf END)::DOUBLE AS v
-  FROM spread GROUP BY ALL),
+most AS (SELECT max(m) AS m FROM draw),
+{functions(seed, refit or 1, '(SELECT m FROM most)')},
+coded AS MATERIALIZED (SELECT project, id, tf, {CODE} AS x FROM counts),
+slots AS (SELECT project, eps, {s}id, {SLOT} AS slot, sum({SIGNED})::DOUBLE AS v
+  FROM coded JOIN draw USING (project) JOIN fun ON fun.i < draw.m GROUP BY ALL),
 grid AS (SELECT d.project, d.eps, {s}docs.id, m, unnest(range(dim)) AS slot
   FROM draw d JOIN docs USING (project){again}),
-vecs AS (SELECT g.project, g.eps, {s.replace('split', 'g.split')}g.id,
-  1 / sqrt(any_value(g.m)::DOUBLE) AS scale,
+vecs AS (SELECT g.project, g.eps, {g}g.id, 1 / sqrt(any_value(g.m)::DOUBLE) AS scale,
   list(coalesce(s.v, 0) ORDER BY g.slot) AS vec
   FROM grid g LEFT JOIN slots s USING (project, eps, {s}id, slot)
-  GROUP BY g.project, g.eps, {s.replace('split', 'g.split')}g.id)"""
+  GROUP BY g.project, g.eps, {g}g.id)"""
 
 
 def cosine(dot: str, na: str, nb: str) -> str:

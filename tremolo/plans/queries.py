@@ -846,7 +846,7 @@ SLOT_SUMMARY = (
 
 def slot_summary(slots: DataFrame) -> DataFrame:
     v = F.col("value")
-    return slots.where(F.col("slot").isNotNull()).groupBy("id").agg(
+    return slots.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_slots"),
         F.round(F.sum(v), 6).alias("total"),
         F.round(F.sum(v * F.col("slot")), 4).alias("moment"),
@@ -855,23 +855,22 @@ def slot_summary(slots: DataFrame) -> DataFrame:
 
 
 def draw_sql(new: str, seed: int, eps: float = 0.3) -> str:
-    """Slots of the texts in the CTE ``new``, fitted on ``counts``."""
+    """Slots of the terms in the CTE ``new``, fitted on ``counts``."""
     return f"""fit AS (SELECT (SELECT count(*) FROM docs) AS n,
   (SELECT count(DISTINCT term) FROM counts) AS n_terms),
 fitd AS (SELECT *, {o.jl('n', str(eps))} AS dim FROM fit),
 fitm AS (SELECT *, {o.draws('dim', 'n_terms')} AS m FROM fitd),
-hashed AS (SELECT id, tf, dim, m, md5(concat_ws('|', {seed}, term, i)) AS h FROM
-  (SELECT c.id, c.term, c.tf, dim, m, unnest(range(m)) AS i FROM {new} c, fitm)),
-drawn_slots AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % dim AS slot,
-  sum(CASE WHEN substr(h, 9, 1) < '8' THEN tf ELSE -tf END) / sqrt(m::DOUBLE) AS v
-  FROM hashed GROUP BY id, slot, m)"""
+{o.functions(seed, 1, '(SELECT m FROM fitm)')},
+coded AS MATERIALIZED (SELECT id, tf, {o.CODE} AS x FROM {new}),
+drawn_slots AS (SELECT id, {o.SLOT} AS slot, sum({o.SIGNED}) / sqrt(any_value(m)::DOUBLE)
+  AS v FROM coded, fitm, fun GROUP BY ALL)"""
 
 
 def fitted_projection(spark, sf):
     docs = labelled(spark, sf)
-    counts = materialize(postings.term_counts(docs, ["id"], outer=True), "counts")
-    n_terms = counts.agg(F.count_distinct("term")).first()[0]
-    return counts, projection.jl_dim(docs.count(), 0.3), n_terms
+    rows = materialize(base.count_vectors(docs), "vectors")
+    n_terms = rows.select(F.explode("terms")).distinct().count()
+    return rows, projection.jl_dim(docs.count(), 0.3), n_terms
 
 
 @query(
@@ -879,15 +878,13 @@ def fitted_projection(spark, sf):
     o.sql([DOCS, o.counts(), draw_sql("counts", 7)], SLOT_SUMMARY.format(src="drawn_slots")),
 )
 def d4_projection(spark, sf):
-    counts, dim, n_terms = fitted_projection(spark, sf)
-    rows = projection.spread_by(counts, ["id"])
-    return slot_summary(
-        projection.project(rows, ["id"], "tf", dim, n_terms, [7])
-    )
+    rows, dim, n_terms = fitted_projection(spark, sf)
+    projected = projection.project_vectors(projection.spread(rows), dim, n_terms, 7)
+    return slot_summary(projection.slot_values(projected, ["id"]))
 
 
 @query(
-    "d4_projection_tests",
+    "d4_projection_cell_tests",
     o.sql(
         [
             DOCS, o.counts(),
@@ -903,12 +900,11 @@ def d4_projection(spark, sf):
         SLOT_SUMMARY.format(src="kept"),
     ),
 )
-def d4_projection_tests(spark, sf):
-    counts, _, n_terms = fitted_projection(spark, sf)
-    rows = projection.spread_by(counts, ["id"])
-    return slot_summary(
-        projection.project(rows, ["id"], "tf", 48, n_terms, [7], method="tests")
-    )
+def d4_projection_cell_tests(spark, sf):
+    counts = postings.term_counts(labelled(spark, sf), ["id"])
+    counts = materialize(counts, "counts")
+    n_terms = counts.select("term").distinct().count()
+    return slot_summary(projection.cell_tests(counts, ["id"], "tf", 48, n_terms, 7))
 
 
 @query(
@@ -923,33 +919,29 @@ def d4_projection_tests(spark, sf):
     ),
 )
 def d5_projection_unseen(spark, sf):
-    counts, dim, n_terms = fitted_projection(spark, sf)
-    new = postings.term_counts(turns(spark, sf), ["id"])
-    known = postings.in_vocabulary(new, postings.vocabulary(counts), ["id"])
-    rows = projection.spread_by(known, ["id"])
-    return slot_summary(projection.project(rows, ["id"], "tf", dim, n_terms, [7]))
+    train, test = base.vectorize_split(labelled(spark, sf), turns(spark, sf), seed=7)
+    return slot_summary(projection.slot_values(test.table, ["id"]))
 
 
 @query(
     "d4_projection_dense",
     o.sql(
         [
-            "counts AS (SELECT vec_id AS id, i AS term, embedding[i + 1]::DOUBLE AS tf "
+            "counts AS (SELECT vec_id AS id, i::VARCHAR AS term, "
+            "embedding[i + 1]::DOUBLE AS tf "
             "FROM (SELECT *, unnest(range(64)) AS i FROM embeddings))",
-            "hashed AS (SELECT id, tf, md5(concat_ws('|', 7, term, i)) AS h FROM (SELECT "
-            "*, unnest(range(4)) AS i FROM counts))",
-            "s AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % 32 AS slot, sum(CASE "
-            "WHEN substr(h, 9, 1) < '8' THEN tf ELSE -tf END) / 2 AS v FROM hashed "
-            "GROUP BY ALL)",
+            o.functions(7, 1, "4"),
+            f"coded AS (SELECT id, tf, 32 AS dim, {o.CODE} AS x FROM counts)",
+            f"s AS (SELECT id, {o.SLOT} AS slot, sum({o.SIGNED}) / 2 AS v "
+            "FROM coded, fun GROUP BY ALL)",
         ],
         SLOT_SUMMARY.format(src="s"),
     ),
 )
 def d4_projection_dense(spark, sf):
     vectors = embeddings(spark, sf)
-    return slot_summary(
-        projection.project_dense(vectors, ["id"], 32, 64, [7], "vec")
-    )
+    projected = projection.project_dense(vectors, "vec", 32, 64, 7)
+    return slot_summary(projection.slot_values(projected, ["id"]))
 
 
 def embeddings(spark, sf) -> DataFrame:
@@ -973,8 +965,7 @@ EMB = (
 
 def count_vectors(spark, sf) -> DataFrame:
     docs = labelled(spark, sf, pooled=True)
-    counts = postings.term_counts(docs, ["id"], outer=True)
-    vectors = postings.sparse_vectors(counts, ["id"], "tf")
+    vectors = base.count_vectors(docs)
     return materialize(vectors.join(docs.select("id", "label"), "id"), "vectors")
 
 
@@ -1042,13 +1033,9 @@ def k3_benchmark_items(spark, sf):
         (-1 - F.col("item_id")).alias("id"), "text"
     )
 
-    def vectors(docs):
-        counts = postings.term_counts(docs, ["id"], outer=True)
-        return materialize(postings.sparse_vectors(counts, ["id"], "tf"), "vectors")
-
-    return near_summary(
-        neighbors.knn_join(vectors(items), vectors(documents(spark, sf)), 3)
-    )
+    queries = materialize(base.count_vectors(items), "vectors")
+    train = materialize(base.count_vectors(documents(spark, sf)), "vectors")
+    return near_summary(neighbors.knn_join(queries, train, 3))
 
 
 @query(
@@ -1126,10 +1113,7 @@ def k3_embeddings_cosine(spark, sf):
 )
 def k4_clamped_k(spark, sf):
     docs = labelled(spark, sf)
-    counts = postings.term_counts(docs, ["project", "id"], outer=True)
-    vectors = materialize(
-        postings.sparse_vectors(counts, ["project", "id"], "tf"), "vectors"
-    )
+    vectors = materialize(base.count_vectors(docs, ["project", "id"]), "vectors")
     near = neighbors.knn_join(
         vectors.where(held_out()), vectors.where(~held_out()), 40, by=["project"]
     )
@@ -1435,9 +1419,7 @@ def a3_smote_model_default_projection(spark, sf):
 )
 def a8_vectorize(spark, sf):
     vectors = base.vectorize(labelled(spark, sf, pooled=True)).table
-    entry = F.inline(F.arrays_zip("terms", "weights")).alias("slot", "value")
-    slots = vectors.select("id", entry).withColumn("slot", F.col("slot").cast("int"))
-    return slot_summary(slots)
+    return slot_summary(projection.slot_values(vectors, ["id"]))
 
 
 # --------------------------------------------------------------------------
