@@ -139,10 +139,14 @@ def _projected(table: pa.Table, dim: int, draws, prime: int) -> np.ndarray:
     weights = _flat(table, "weights") / np.sqrt(len(draws))
     high, low = codes >> 30, codes & ((1 << 30) - 1)
     out = np.zeros((table.num_rows, dim))
-    for a, b, c, d in draws:
+    step = max(1, PAIR_CHUNK // max(1, len(codes)))
+    for i in range(0, len(draws), step):
+        a, b, c, d = (np.array(v)[:, None] for v in zip(*draws[i : i + step]))
         sign = 1 - 2 * ((c * low + d) % prime % 2)
-        slot = (a * high + b) % prime % dim
-        out += _scatter(rows, slot, weights * sign, table.num_rows, dim)
+        cell = rows * dim + (a * high + b) % prime % dim
+        out += np.bincount(
+            cell.ravel(), (sign * weights).ravel(), minlength=out.size
+        ).reshape(out.shape)
     return out
 
 

@@ -36,13 +36,17 @@ from .projection import PRIME, draw_functions
 METRICS = ("cosine", "euclidean")
 MAX_BLOCK_ROWS = 4096  # bounds the distance matrix one task holds
 MAX_BLOCK_VALUES = 8_000_000  # bounds the vectors one task holds
-MIN_BLOCK_ROWS = 256  # smaller blocks only add overhead
-SPREAD = 8  # blocks per side wanted even for small groups
+MIN_BLOCK_ROWS = 128  # smaller blocks only add overhead
+# Blocks wanted even for small groups.  Training blocks multiply the short
+# lists to merge, query blocks do not, so parallelism comes from the latter.
+QUERY_SPREAD = 8
+TRAIN_SPREAD = 2
 
 
-def block_count(n_rows: Column, n_values: Column) -> Column:
+def block_count(n_rows: Column, n_values: Column, spread: int) -> Column:
     """Blocks for one side of a group: enough to keep an average block within
-    the row and value bounds, and up to SPREAD while they stay worth a task."""
+    the row and value bounds, and up to ``spread`` while they stay worth a
+    task."""
 
     def pieces(n: Column, size: int) -> Column:
         return F.ceil(n / F.lit(float(size)))
@@ -50,7 +54,7 @@ def block_count(n_rows: Column, n_values: Column) -> Column:
     return F.greatest(
         pieces(n_rows, MAX_BLOCK_ROWS),
         pieces(n_values, MAX_BLOCK_VALUES),
-        F.least(F.lit(SPREAD), pieces(n_rows, MIN_BLOCK_ROWS)),
+        F.least(F.lit(spread), pieces(n_rows, MIN_BLOCK_ROWS)),
         F.lit(1),
     ).cast("int")
 
@@ -185,11 +189,15 @@ class _Pairs:
             train = train.withColumn("_all", F.lit(0))
         # One row per group.  Written out so that its true size decides whether
         # the joins below broadcast it.
-        n_blocks = block_count(F.count(F.lit(1)), F.sum(size))
+        def n_blocks(spread: int) -> Column:
+            return block_count(F.count(F.lit(1)), F.sum(size), spread)
+
         blocks = materialize(
             queries.groupBy(*keys)
-            .agg(n_blocks.alias("_nq"))
-            .join(train.groupBy(*keys).agg(n_blocks.alias("_nt")), keys),
+            .agg(n_blocks(QUERY_SPREAD).alias("_nq"))
+            .join(
+                train.groupBy(*keys).agg(n_blocks(TRAIN_SPREAD).alias("_nt")), keys
+            ),
             "blocks",
         )
 

@@ -81,13 +81,30 @@ def l2_normalized(postings: DataFrame, keys: list[str], weight: str) -> DataFram
     return postings.withColumn(weight, F.col(weight) / norm)
 
 
-def tfidf(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
-    """``tf * idf`` with unit-length rows: ``(*keys, term, w)``.  Terms outside
-    the fitted vocabulary are dropped by the same join."""
-    weighted = lookup(postings, idf, "term", "df", keys).select(
+def weighted_terms(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """``tf * idf`` before normalising: ``(*keys, term, w)``.  Terms outside the
+    fitted vocabulary are dropped by the same join."""
+    return lookup(postings, idf, "term", "df", keys).select(
         *keys, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
-    return l2_normalized(weighted, keys, "w")
+
+
+def tfidf(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """``tf * idf`` with unit-length rows: ``(*keys, term, w)``."""
+    return l2_normalized(weighted_terms(postings, idf, keys), keys, "w")
+
+
+def tfidf_vectors(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as one row per text (``terms, weights``).  Terms and squared
+    length come from one aggregate, the only exchange by text."""
+    weighted = weighted_terms(postings, idf, keys)
+    pair = F.struct(F.col("term").alias("t"), F.col("w"))
+    rows = weighted.groupBy(*keys).agg(
+        F.collect_list(pair).alias("_p"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"),
+    )
+    weights = F.transform("_p", lambda p: p["w"] / F.col("_n"))
+    return rows.select(*keys, F.col("_p")["t"].alias("terms"), weights.alias("weights"))
 
 
 def sparse_vectors(postings: DataFrame, keys: list[str], weight: str) -> DataFrame:

@@ -1059,8 +1059,7 @@ def k3_tfidf_cosine(spark, sf):
     docs = labelled(spark, sf, pooled=True)
     counts = materialize(postings.term_counts(docs, ["id"]), "counts")
     idf = postings.smoothed_idf(counts, docs.count())
-    weights = postings.tfidf(counts, idf, ["id"])
-    vectors = materialize(postings.sparse_vectors(weights, ["id"], "w"), "vectors")
+    vectors = materialize(postings.tfidf_vectors(counts, idf, ["id"]), "vectors")
     return near_summary(
         neighbors.knn_join(vectors.where(held_out()), vectors.where(~held_out()), 7)
     )
