@@ -183,34 +183,30 @@ class _Pairs:
     """Both sides cut into blocks and brought together block by block."""
 
     def __init__(self, queries, train, by, size, carried, q_label, t_label):
-        keys = by or ["_all"]
-        if not by:
-            queries = queries.withColumn("_all", F.lit(0))
-            train = train.withColumn("_all", F.lit(0))
-        # One row per group.  Written out so that its true size decides whether
-        # the joins below broadcast it.
         def n_blocks(spread: int) -> Column:
             return block_count(F.count(F.lit(1)), F.sum(size), spread)
 
-        blocks = materialize(
-            queries.groupBy(*keys)
-            .agg(n_blocks(QUERY_SPREAD).alias("_nq"))
-            .join(
-                train.groupBy(*keys).agg(n_blocks(TRAIN_SPREAD).alias("_nt")), keys
-            ),
-            "blocks",
-        )
+        n_q, n_t = n_blocks(QUERY_SPREAD), n_blocks(TRAIN_SPREAD)
+        if by:
+            # One row per group.  Written out so that its true size decides
+            # whether the joins below broadcast it.
+            q_blocks = queries.groupBy(*by).agg(n_q.alias("_nq"))
+            t_blocks = train.groupBy(*by).agg(n_t.alias("_nt"))
+            blocks = materialize(q_blocks.join(t_blocks, by), "blocks")
+            queries, train = queries.join(blocks, by), train.join(blocks, by)
+        else:
+            both = {
+                "_nq": F.lit(queries.agg(n_q.alias("n")).first()["n"] or 1),
+                "_nt": F.lit(train.agg(n_t.alias("n")).first()["n"] or 1),
+            }
+            queries, train = queries.withColumns(both), train.withColumns(both)
 
         def cut(side: DataFrame, own: str, other: str, n_own: str, n_other: str):
             salt = F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int")
             partners = F.sequence(F.lit(0), F.col(n_other) - 1)
-            return (
-                side.join(blocks, keys)
-                .withColumn(own, salt)
-                .withColumn(other, F.explode(partners))
-            )
+            return side.withColumns({own: salt, other: F.explode(partners)})
 
-        self.key = [*keys, "_qb", "_tb"]
+        self.key = [*by, "_qb", "_tb"]
         q = cut(queries, "_qb", "_tb", "_nq", "_nt")
         t = cut(train, "_tb", "_qb", "_nt", "_nq")
         self.q = q.select(*self.key, "id", *q_label, *carried)
