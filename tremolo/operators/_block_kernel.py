@@ -142,7 +142,7 @@ def _projected(table: pa.Table, dim: int, draws, prime: int) -> np.ndarray:
     step = max(1, PAIR_CHUNK // max(1, len(codes)))
     for i in range(0, len(draws), step):
         a, b, c, d = (np.array(v)[:, None] for v in zip(*draws[i : i + step]))
-        sign = 1 - 2 * ((c * low + d) % prime % 2)
+        sign = 1 - 2 * (((c * low + d) % prime) & 1)
         cell = rows * dim + (a * high + b) % prime % dim
         out += np.bincount(
             cell.ravel(), (sign * weights).ravel(), minlength=out.size
@@ -178,14 +178,14 @@ def distances(dots, l_sq, r_sq, metric: str) -> np.ndarray:
     return np.round(out, 10)
 
 
-def _membership(table: pa.Table, codes: dict[int, int]) -> np.ndarray:
-    col = _column(table, "splits")
-    rows = _row_numbers(col)
-    flat = np.asarray(col.flatten())
-    out = np.zeros((len(codes), len(col)), dtype=bool)
-    kept = np.array([codes.get(int(s), -1) for s in flat], dtype=np.int64)
-    ok = kept >= 0
-    out[kept[ok], rows[ok]] = True
+def _membership(table: pa.Table, listed: np.ndarray) -> np.ndarray:
+    """Which rows (columns) belong to which of the sorted splits (rows)."""
+    rows = _row_numbers(_column(table, "splits"))
+    flat = _flat(table, "splits")
+    place = np.minimum(np.searchsorted(listed, flat), len(listed) - 1)
+    known = listed[place] == flat
+    out = np.zeros((len(listed), table.num_rows), dtype=bool)
+    out[place[known], rows[known]] = True
     return out
 
 
@@ -239,9 +239,8 @@ def nearest_in_block(left, right, *, k, metric, by, with_splits, exclude_self, s
     numbers = {}
     if with_splits:
         listed = np.unique(_flat(left, "splits"))
-        codes = {int(s): i for i, s in enumerate(listed)}
         s_idx, q_idx, t_idx = _best_per_split(
-            dist, _membership(left, codes), _membership(right, codes), k
+            dist, _membership(left, listed), _membership(right, listed), k
         )
         numbers["split"] = listed[s_idx]
     else:
@@ -267,13 +266,11 @@ def nearest_under_projections(
     right = right.sort_by("id")
     dims, counts = _column(left, "dims")[0].as_py(), _column(left, "n_draws")[0].as_py()
     listed = np.unique(_flat(left, "splits"))
+    in_test, in_train = _membership(left, listed), _membership(right, listed)
     found = []
     for i, key in enumerate(settings):
-        used = listed if stride == 0 else listed[listed // stride == i]
-        if len(used) == 0:
-            continue
-        codes = {int(s): j for j, s in enumerate(used)}
-        test_in, train_in = _membership(left, codes), _membership(right, codes)
+        mine = np.ones(len(listed), bool) if stride == 0 else listed // stride == i
+        used, test_in, train_in = listed[mine], in_test[mine], in_train[mine]
         q_here = np.flatnonzero(test_in.any(axis=0))
         t_here = np.flatnonzero(train_in.any(axis=0))
         if len(q_here) == 0 or len(t_here) == 0:

@@ -24,7 +24,7 @@ from ..operators import (
 )
 from ..operators.skew import lookup
 from ..sources import results, text_folders
-from ..sources.materialize import materialize, scratch_path
+from ..sources.materialize import materialize, scratch_path, spread_few_files
 from . import base, experiments
 from . import oracle_sql as o
 from .estimator import NeighborVoteClassifier
@@ -96,7 +96,10 @@ ELSE '  assertEquals(1, value); AssertTrue(ok); doReturn(1); @Shared
 
 
 def code(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.expr(CODE).alias("text"))
+    events = spread_few_files(
+        table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    )
+    return events.select("event_id", F.expr(CODE).alias("text"))
 
 
 CODE_CTE = f"code AS (SELECT event_id, {CODE} AS text FROM events)"
@@ -286,7 +289,8 @@ def s8_footprint(spark, sf):
     f"regexp_extract_all(lower(text), '{o.TOKEN}') AS toks FROM documents)",
 )
 def t1_tokens(spark, sf):
-    toks = documents(spark, sf).select("id", txt.tokens(F.col("text")).alias("toks"))
+    docs = spread_few_files(documents(spark, sf).select("id", "text"))
+    toks = docs.select("id", txt.tokens(F.col("text")).alias("toks"))
     return toks.select(
         "id",
         F.size("toks").alias("n_tokens"),
@@ -523,9 +527,8 @@ PROSE_SQL = rules_sql(PROSE_RULES)
     ),
 )
 def p3_patterns_long(spark, sf):
-    return patterns.pattern_counts_long(
-        documents(spark, sf).select("id", "text"), ["id"], rules=PROSE_RULES
-    )
+    docs = spread_few_files(documents(spark, sf).select("id", "text"))
+    return patterns.pattern_counts_long(docs, ["id"], rules=PROSE_RULES)
 
 
 def structural_sql(source: str, key: str, text: str) -> str:
@@ -558,14 +561,14 @@ def structural_sql(source: str, key: str, text: str) -> str:
 
 @query("x1_x8_structure_pages", structural_sql("pages", "page_id", "html"))
 def x1_x8_structure_pages(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = spread_few_files(table(spark, sf, "pages").select("page_id", "html"))
     out = structural.with_structural_features(pages, "html").drop("html")
     return out.withColumns(six("avg_line_length"))
 
 
 @query("x1_x8_structure_documents", structural_sql("documents", "doc_id", "text"))
 def x1_x8_structure_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_few_files(table(spark, sf, "documents").select("doc_id", "text"))
     out = structural.with_structural_features(docs).drop("text")
     return out.withColumns(six("avg_line_length"))
 
@@ -698,7 +701,7 @@ STRUCT_SQL = structural_sql("documents", "doc_id", "text")
     ),
 )
 def n1_scaler(spark, sf):
-    docs = documents(spark, sf).select("id", "text")
+    docs = spread_few_files(documents(spark, sf).select("id", "text"))
     features = structural.with_structural_features(docs).withColumns(
         six("avg_line_length")
     )
@@ -722,7 +725,7 @@ def n1_scaler(spark, sf):
 )
 def n2_scaled_pages(spark, sf):
     names = structural.STRUCTURAL_FEATURES
-    docs = documents(spark, sf).select("id", "text")
+    docs = spread_few_files(documents(spark, sf).select("id", "text"))
     fitted = structural.with_structural_features(docs).withColumns(
         six("avg_line_length")
     )
