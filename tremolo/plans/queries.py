@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions, structural
 from ..functions import text as txt
-from ..functions.hashing import digest, hash32
+from ..functions.hashing import hash32
 from ..operators import (
     evaluation,
     imbalance,
