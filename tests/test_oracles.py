@@ -38,4 +38,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_is_known():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"a3_smote_model_default_projection"}
+    assert set(QUERIES) - set(ORACLES) <= {"a3_smote_model_default_projection"}

@@ -6,20 +6,32 @@ counts for its readers, and has true size statistics for the optimizer.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new temporary one is
-    configured only where the session names none (as in small local tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where the session names none, a single-process session (``local[...]``, as
+    in tests) gets a temporary folder of its own; a cluster gets an error, as
+    executors cannot see the driver's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tremolo-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _LOCAL_FOLDERS.setdefault(
+        context.applicationId, tempfile.mkdtemp(prefix="tremolo-")
+    )
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
