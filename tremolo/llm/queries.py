@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_prefix, token_files, url_blocks
-from ._common import read
+from . import (
+    crf_toxicity,
+    decontaminate,
+    exact_dedup,
+    language_mix,
+    licenses,
+    piece_prefix,
+    token_files,
+    url_blocks,
+)
+from ._common import folded, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +41,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = crf_toxicity.fit(docs, labels, ~folded(F.col("doc_id"), 5, 0))
+    return crf_toxicity.score(docs, model).select(
+        "doc_id",
+        folded(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+        F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("spans"),
+    )
+
+
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -44,6 +67,44 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CANON = r"""trim(regexp_replace(lower(regexp_replace(coalesce({}, ''),
+  '(?im)^[^\p{{L}}\p{{N}}\n]*(copyright\b|\(c\)|©)[^\n]*$', '', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
+
+
+def _canonical_sql(text: str) -> str:
+    found = _CANON.format(text)
+    for other, one in licenses.SPELLINGS:
+        found = f"replace({found}, '{other}', '{one}')"
+    return found
+
+
+_KNOWN_ROWS = ", ".join(
+    f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.KNOWN)
+)
+OP3_SQL = f"""WITH known AS (
+  SELECT sha256({_canonical_sql('t')}) AS d, min_by(name, i) AS license
+  FROM (VALUES {_KNOWN_ROWS}) k(i, name, t) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+lined AS (SELECT doc_id, list_sort(list_distinct(list(license))) AS line_licenses
+  FROM lines JOIN known ON sha256({_canonical_sql('line')}) = d GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents)
+SELECT doc_id, digest, known.license, array_to_string(coalesce(line_licenses, []), ',') AS line_licenses
+FROM whole LEFT JOIN known ON digest = d LEFT JOIN lined USING (doc_id)"""
+
+
+@query("op3_license_digests", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every text and benchmark item that share a passage."""
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 @query(
     "op5_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -116,3 +177,15 @@ FROM pages_ LEFT JOIN ruled ON pages_.node = ruled.node LEFT JOIN reached ON pag
 @query("op8_url_blocks", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_blocks.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op9_language_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = folded(F.col("doc_id"), 4, 2)
+    languages, table = language_mix.fit(docs.where(~held_out))
+    found = language_mix.identify(docs, languages, table)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score",
+        F.transform("languages", lambda x: x["lang"]).alias("languages"),
+    )
