@@ -398,3 +398,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,probability:double>>"
     )
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with all their
+    columns.  Narrow: each row is judged where it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in parts(batches):
+            scores, _ = scorer(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,8 +11,10 @@ from . import (
     crf_toxicity,
     decontaminate,
     exact_dedup,
+    hpyp,
     language_mix,
     licenses,
+    near_dedup,
     piece_prefix,
     token_files,
     url_blocks,
@@ -118,6 +120,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("digest", "text_sha256")
 
 
+@query("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 @query("op7_token_files")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -189,3 +196,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score",
         F.transform("languages", lambda x: x["lang"]).alias("languages"),
     )
+
+
+@query("op10_hpyp")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = folded(F.col("doc_id"), 10, 0)
+    return hpyp.score_texts(docs, ~held_out).withColumn("held_out", held_out)
