@@ -9,17 +9,17 @@ of ``ROWS`` registers make the candidates; a pair with Jaccard similarity 0.8
 agrees in none of the 51 bands with probability 2e-9.
 
 Texts with equal sets are one class, and only classes are compared.  Links are
-confirmed on the full sets.  They are looked for in three rounds, none of which
-writes all pairs of a bucket:
+confirmed on the full sets, in two rounds, none of which writes all pairs of a
+group:
 
 1. every class with the smallest class of its bucket;
-2. in buckets whose members are not connected by then, the pairs of a spanning
-   forest that joins components by the highest estimates;
-3. in what is still not connected, all pairs of different components whose
-   estimate is not clearly too low.
+2. classes that buckets tie together, directly or through others, but round 1
+   did not connect: they meet in blocks, where pairs of different components are
+   tested, highest estimates first, unless their components are connected by
+   then or the estimate rules a link out.  Only links are written.
 
-After the third round no candidate pair of different components is untested, so
-components are those of all candidate links.
+After that no candidate pair of different components is untested, so components
+are those of all candidate links.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from ._components import components
 REGISTERS, ROWS = 256, 5
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
-#: Members compared at once with one hub, and members of one block of a bucket.
-PIECE, BLOCK = 256, 1_024
+#: Members compared at once with one hub, and members of one block of a cluster.
+PIECE, BLOCK = 256, 256
 
 _U = np.uint64
 _ORDER = np.argsort(
@@ -181,18 +181,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         found = []
         for member, text in rows.loc[~is_hub, ["doc", "text"]].itertuples(index=False):
             own = shingles(text, size, hashes)
-            for hub in hubs:
-                if len(own) == 0 or len(hub) == 0:
-                    continue
-                low, high = sorted((len(own), len(hub)))
-                if 100 * low < percent * high:
-                    continue
-                at = np.searchsorted(hub, own)
-                at[at == len(hub)] = 0
-                common = int((hub[at] == own).sum())
-                if 100 * common >= percent * (len(own) + len(hub) - common):
-                    found.append(member)
-                    break
+            if any(_similar(own, hub, percent) for hub in hubs):
+                found.append(member)
         return pd.DataFrame({"a": np.array(found, np.int64), "b": np.full(len(found), key[0], np.int64)})
 
     pairs = materialize(pairs, "pairs")
@@ -210,54 +200,56 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.groupBy("hub", "piece").applyInPandas(run, "a long, b long")
 
 
-def _across(open_: DataFrame, forest: bool, least: float) -> DataFrame:
-    """Pairs of different components inside buckets; ``open_(key, rep, comp, regs,
-    members)``.  A bucket of many members is cut into blocks, and every pair of
-    blocks is one unit, so that none grows with the bucket."""
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """``100 * intersection >= percent * union`` of two sorted sets."""
+    low, high = sorted((len(a), len(b)))
+    if low == 0 or 100 * low < percent * high:
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _across(open_: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of one cluster; ``open_(cluster, rep, comp, regs,
+    members, text)``.  A cluster of many members is cut into blocks, and every
+    pair of blocks is one unit, so that none grows with the cluster."""
+    least = least_estimate(percent)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
+        rows = rows.sort_values(["rep", "text"], ignore_index=True)
         regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(-1, REGISTERS)
-        comp, rep = rows["comp"].to_numpy(), rows["rep"].to_numpy()
-        keys = band_keys(regs)
-        own = np.array([np.flatnonzero(k == key[0])[0] for k in keys])[:, None]
-        first_i, first_j, value = [], [], []
+        comp, rep, block = (rows[c].to_numpy() for c in ("comp", "rep", "block"))
+        hashes, sets = WordHashes(), {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(rows["text"][i], size, hashes)
+            return sets[i]
+
+        found, comp = [], comp.copy()
         for i in range(len(rows) - 1):
             rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            rest = rest[estimate((regs[rest] == regs[i]).sum(axis=1), rest) >= least]
-            if len(rest):  # a pair is written in its first common bucket only
-                rest = rest[(keys[rest] == keys[i]).argmax(axis=1) == own[rest, 0]]
-            first_i.append(np.full(len(rest), i))
-            first_j.append(rest)
-            value.append((regs[rest] == regs[i]).sum(axis=1))
-        i, j, v = (np.concatenate(x) if x else np.zeros(0, int) for x in (first_i, first_j, value))
-        if forest:
-            up = {c: c for c in comp}
-
-            def root(c):
-                while up[c] != c:
-                    up[c] = up[up[c]]
-                    c = up[c]
-                return c
-
-            keep = []
-            for at in np.argsort(-v, kind="stable"):
-                x, y = root(comp[i[at]]), root(comp[j[at]])
-                if x != y:
-                    up[x] = y
-                    keep.append(at)
-            i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": rep[j], "b": rep[i]}, dtype="int64")
+            if key[1] != key[2]:  # pairs inside a block are its own unit's
+                rest = rest[block[rest] != block[i]]
+            equal = (regs[rest] == regs[i]).sum(axis=1)
+            good = estimate(equal, equal) >= least
+            for j in rest[good][np.argsort(-equal[good], kind="stable")]:
+                if comp[i] != comp[j] and _similar(of(i), of(j), percent):
+                    found.append((rep[j], rep[i]))
+                    comp[comp == comp[j]] = comp[i]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = open_.select("key", "rep", "comp", "regs", block.alias("block"), other).select(
-        "key", "rep", "comp", "regs",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-    )
-    pairs = dealt.groupBy("key", "low", "high").applyInPandas(run, "a long, b long")
-    return pairs.distinct()
+    kept = ["cluster", "rep", "comp", "regs", "text", "block"]
+    dealt = open_.withColumn("block", block).select(*kept, other).select(
+        *kept, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    return dealt.groupBy("cluster", "low", "high").applyInPandas(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -288,27 +280,30 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1"),
         "buckets",
     )
-    in_bucket = materialize(keyed.join(buckets, "key"), "members")
-    involved = in_bucket.select(F.col("rep").alias("doc")).distinct()
+    stars = keyed.join(buckets, "key").where("rep <> hub")
+    stars = materialize(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    involved = stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     texts = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(involved, "doc"), "texts"
     )
-    stars = in_bucket.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = materialize(likely(stars, classes, least), "stars")
-    links = materialize(verified(stars, texts, size, percent), "links")
-    tested = stars
-    for forest in (True, False):
-        comp = components(links, "a", "b")
-        found = in_bucket.select("key", "rep", "members").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        found = materialize(
-            found.select("key", "rep", "members", F.coalesce("component", "rep").alias("comp")), "labelled"
-        )
-        open_keys = found.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-        open_ = found.join(materialize(open_keys.select("key"), "open"), "key").join(classes, "rep")
-        pairs = _across(open_, forest, least).join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "across")
-        more = materialize(verified(pairs, texts, size, percent), "links")
-        links, tested = links.union(more), tested.union(pairs)
+    links = materialize(verified(likely(stars, classes, least), texts, size, percent), "links")
+
+    clusters = components(stars, "a", "b").withColumnRenamed("component", "cluster")
+    connected = components(links, "a", "b").withColumnRenamed("component", "comp")
+    labelled = materialize(
+        clusters.join(connected, "node", "left").select(
+            "cluster", F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp")
+        ),
+        "labelled",
+    )
+    # A cluster of two was tested in the first round.
+    open_ = labelled.groupBy("cluster").agg(
+        F.count("*").alias("members"), F.min("comp").alias("x"), F.max("comp").alias("y")
+    ).where("members > 2 AND x < y")
+    open_ = labelled.join(materialize(open_.select("cluster", "members"), "open"), "cluster")
+    open_ = open_.join(classes, "rep").join(texts.withColumnRenamed("doc", "rep"), "rep")
+    more = materialize(_across(open_, size, percent), "links")
+    links = links.union(more)
     # Two classes with one representative are two rows of one document.
     comp = materialize(components(links, "a", "b"), "components")
     resolved = groups.join(comp, F.col("rep") == F.col("node"), "left").select(
