@@ -6,6 +6,7 @@ counts for its readers, and has true size statistics for the optimizer.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -46,6 +47,14 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps whose results are
+    written and whose plans are no longer held; otherwise they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread_few_files(df: DataFrame) -> DataFrame:
     """Rows of a table in fewer files than the cluster has cores, dealt out to
     all of them; a table of many files is returned as it is.  For heavy work
