@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from ._common import parts, words
 
 #: The learner sees at most so many labelled texts of each class, the first by
-#: hash of their id, and of these only texts of at most so many characters.
-MAX_TEXTS_PER_CLASS = 1_500
-MAX_TRAINING_CHARS = 50_000
+#: hash of their id, and of these only texts of at most so many characters.  It
+#: needs about 400 bytes of driver memory a token.
+MAX_TEXTS_PER_CLASS = 800
+MAX_TRAINING_CHARS = 20_000
 _LIFT, _RATIO = 8.0, 40.0
 _FEATURES = 10
 _WORDS_KEPT = 400_000

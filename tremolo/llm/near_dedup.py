@@ -283,9 +283,9 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = keyed.join(buckets, "key").where("rep <> hub")
     stars = materialize(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     involved = stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(involved, "doc"), "texts"
-    )
+    # One plan at every size: the merge join ships each text once.
+    named_texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    texts = materialize(named_texts.join(involved.hint("merge"), "doc"), "texts")
     links = materialize(verified(likely(stars, classes, least), texts, size, percent), "links")
 
     clusters = components(stars, "a", "b").withColumnRenamed("component", "cluster")
