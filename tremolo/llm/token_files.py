@@ -1,6 +1,7 @@
 """Token ids as Arrow files of fixed-size lists, and reading them back.
 
-The corpus is one stream of ids in ascending doc_id order, cut into sequences of
+Ids take 16 bits where the vocabulary allows it and 32 otherwise; masks take one
+bit.  The corpus is one stream of ids in ascending doc_id order, cut into sequences of
 equal length.  Each task writes its range of ids as one Arrow file whose record
 batches hold ``fixed_size_list`` columns ``ids`` and ``mask``; sequence *i* of a
 file is a slice of a memory-mapped buffer, so access is random and copies nothing.
@@ -25,6 +26,7 @@ from ._common import parts
 
 _CHUNKS_KEPT = 600_000
 _LONGEST_KEPT = 64
+_MARKS = frozenset(".,;:!?")
 #: Sequences in a record batch; the writer holds so much and no more.
 _BATCH_SEQUENCES = 128
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -54,6 +56,16 @@ class ChunkEncoder:
                 found[chunk] = data[4 * a : 4 * b]
         return found
 
+    @staticmethod
+    def _core(chunk: str) -> tuple[str, str]:
+        """A chunk as letters and one mark after them, where that is all it is: runs
+        of letters and of marks are pre-tokens of their own.  ASCII letters are
+        lower-cased, as the tokenizer does it too."""
+        core, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
+        if not core.isalpha():
+            return chunk, ""
+        return core.lower() if core.isascii() else core, tail
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
         if len(self.known) > _CHUNKS_KEPT:
@@ -61,7 +73,12 @@ class ChunkEncoder:
         known = self.known
         new = {c for chunks in split for c in chunks if c not in known}
         long = self._learn([c for c in new if len(c) > _LONGEST_KEPT])
-        known.update(self._learn([c for c in new if len(c) <= _LONGEST_KEPT]))
+        short = [c for c in new if len(c) <= _LONGEST_KEPT]
+        made = {c: self._core(c) for c in short}
+        need = {part for parts_ in made.values() for part in parts_ if part not in known}
+        known.update(self._learn(list(need)))
+        for chunk, (core, tail) in made.items():
+            known[chunk] = known[core] + known[tail]
         if not long:
             return [b"".join([known[c] for c in chunks]) for chunks in split]
         return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in split]
@@ -97,9 +114,9 @@ def _replace(system, temporary: str, final: str) -> None:
 class _SequenceFile:
     """Writes a stream of ids as record batches of equal-length sequences."""
 
-    def __init__(self, sink, length: int):
-        self.length = length
-        lists = pa.list_(pa.uint32(), length), pa.list_(pa.uint8(), length)
+    def __init__(self, sink, length: int, kind: np.dtype):
+        self.length, self.kind = length, kind
+        lists = pa.list_(pa.from_numpy_dtype(kind), length), pa.list_(pa.bool_(), length)
         self.schema = pa.schema([("ids", lists[0]), ("mask", lists[1])])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting: list[np.ndarray] = []
@@ -117,14 +134,14 @@ class _SequenceFile:
         flat = np.concatenate(self.waiting)
         self.waiting = [flat[upto:]]
         self.held = len(flat) - upto
-        self._write(flat[:upto], np.ones(upto, np.uint8))
+        self._write(flat[:upto], np.ones(upto, bool))
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
         size = self.length * _BATCH_SEQUENCES
         for at in range(0, len(ids), size):
             arrays = [
                 pa.FixedSizeListArray.from_arrays(pa.array(x[at : at + size]), self.length)
-                for x in (ids, mask)
+                for x in (ids.astype(self.kind), mask)
             ]
             self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
             self.sequences += len(arrays[0])
@@ -134,7 +151,7 @@ class _SequenceFile:
             rest = np.concatenate(self.waiting)
             room = -len(rest) % self.length
             ids = np.concatenate([rest, np.zeros(room, np.uint32)])
-            mask = np.concatenate([np.ones(len(rest), np.uint8), np.zeros(room, np.uint8)])
+            mask = np.concatenate([np.ones(len(rest), bool), np.zeros(room, bool)])
             self._write(ids, mask)
         self.writer.close()
 
@@ -165,7 +182,8 @@ def write(
         with system.open_output_stream(f"{mark}-a") as sink, system.open_output_stream(
             f"{mark}-b"
         ) as index_sink, pa.ipc.new_file(index_sink, _INDEX) as index:
-            out = _SequenceFile(sink, length)
+            top = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
+            out = _SequenceFile(sink, length, np.min_scalar_type(max(top, 256)))
             batch = first
             while batch is not None:
                 coded = [ids + end for ids in encoder.encode(batch.column(1).to_pylist())]
@@ -207,12 +225,13 @@ def open_file(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence: two views of the file's buffers."""
+    """Ids, a view of the file's buffer, and the unpacked mask of one sequence."""
     batch = reader.get_batch(number // _BATCH_SEQUENCES)
     at = number % _BATCH_SEQUENCES
     size = batch.schema.field(0).type.list_size
-    ids, mask = (c.flatten().to_numpy(zero_copy_only=True) for c in batch.columns)
-    return ids[at * size : (at + 1) * size], mask[at * size : (at + 1) * size]
+    ids, mask = batch.column(0).flatten(), batch.column(1).flatten()
+    mask = mask.slice(at * size, size).to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=True)[at * size : (at + 1) * size], mask
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
@@ -225,7 +244,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 index = open_file(folder, f"{row['file']}.docs.arrow")
                 data = open_file(folder, f"{row['file']}.arrow")
-                loaded, low, flat = -1, 0, np.empty(0, np.uint32)
+                loaded, low, flat = -1, 0, np.empty(0, np.uint16)
                 for k in range(index.num_record_batches):
                     part = index.get_batch(k)
                     starts = part.column(1).to_pylist()
@@ -240,7 +259,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                                 flat = data.get_batch(loaded).column(0).flatten().to_numpy(zero_copy_only=True)
                                 continue
                             piece = flat[at - low : start + size - low]
-                            crc = zlib.crc32(memoryview(piece).cast("B"), crc)
+                            crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
                             at += len(piece)
                         sums.append(crc)
                     begin = pa.array(np.array(starts, np.int64) + row["base"])
