@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.materialize import materialize, scratch_path
 from ._common import parts
 
-_CHUNKS_KEPT = 600_000
+_CHUNKS_KEPT, _CORES_KEPT = 400_000, 800_000
 _LONGEST_KEPT = 64
 _MARKS = frozenset(".,;:!?")
 #: Sequences in a record batch; the writer holds so much and no more.
@@ -42,6 +42,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         found = {}
@@ -70,15 +71,17 @@ class ChunkEncoder:
         split = [(t or "").split(" ") for t in texts]
         if len(self.known) > _CHUNKS_KEPT:
             self.known.clear()
-        known = self.known
+        if len(self.cores) > _CORES_KEPT:
+            self.cores.clear()
+        known, cores = self.known, self.cores
         new = {c for chunks in split for c in chunks if c not in known}
         long = self._learn([c for c in new if len(c) > _LONGEST_KEPT])
         short = [c for c in new if len(c) <= _LONGEST_KEPT]
         made = {c: self._core(c) for c in short}
-        need = {part for parts_ in made.values() for part in parts_ if part not in known}
-        known.update(self._learn(list(need)))
+        need = {part for parts_ in made.values() for part in parts_ if part not in cores}
+        cores.update(self._learn(list(need)))
         for chunk, (core, tail) in made.items():
-            known[chunk] = known[core] + known[tail]
+            known[chunk] = cores[core] + cores[tail]
         if not long:
             return [b"".join([known[c] for c in chunks]) for chunks in split]
         return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in split]
