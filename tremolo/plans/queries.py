@@ -24,7 +24,7 @@ from ..operators import (
 )
 from ..operators.skew import lookup
 from ..sources import results, text_folders
-from ..sources.materialize import materialize, scratch_path, spread_few_files
+from ..sources.materialize import materialize, scratch_path
 from . import base, experiments
 from . import oracle_sql as o
 from .estimator import NeighborVoteClassifier
@@ -96,9 +96,7 @@ ELSE '  assertEquals(1, value); AssertTrue(ok); doReturn(1); @Shared
 
 
 def code(spark: SparkSession, sf: str) -> DataFrame:
-    events = spread_few_files(
-        table(spark, sf, "events").select("event_id", "event_type", "user_id")
-    )
+    events = table(spark, sf, "events").select("event_id", "event_type", "user_id")
     return events.select("event_id", F.expr(CODE).alias("text"))
 
 
@@ -289,7 +287,7 @@ def s8_footprint(spark, sf):
     f"regexp_extract_all(lower(text), '{o.TOKEN}') AS toks FROM documents)",
 )
 def t1_tokens(spark, sf):
-    docs = spread_few_files(documents(spark, sf).select("id", "text"))
+    docs = documents(spark, sf).select("id", "text")
     toks = docs.select("id", txt.tokens(F.col("text")).alias("toks"))
     return toks.select(
         "id",
@@ -527,7 +525,7 @@ PROSE_SQL = rules_sql(PROSE_RULES)
     ),
 )
 def p3_patterns_long(spark, sf):
-    docs = spread_few_files(documents(spark, sf).select("id", "text"))
+    docs = documents(spark, sf).select("id", "text")
     return patterns.pattern_counts_long(docs, ["id"], rules=PROSE_RULES)
 
 
@@ -561,14 +559,14 @@ def structural_sql(source: str, key: str, text: str) -> str:
 
 @query("x1_x8_structure_pages", structural_sql("pages", "page_id", "html"))
 def x1_x8_structure_pages(spark, sf):
-    pages = spread_few_files(table(spark, sf, "pages").select("page_id", "html"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
     out = structural.with_structural_features(pages, "html").drop("html")
     return out.withColumns(six("avg_line_length"))
 
 
 @query("x1_x8_structure_documents", structural_sql("documents", "doc_id", "text"))
 def x1_x8_structure_documents(spark, sf):
-    docs = spread_few_files(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     out = structural.with_structural_features(docs).drop("text")
     return out.withColumns(six("avg_line_length"))
 
@@ -701,7 +699,7 @@ STRUCT_SQL = structural_sql("documents", "doc_id", "text")
     ),
 )
 def n1_scaler(spark, sf):
-    docs = spread_few_files(documents(spark, sf).select("id", "text"))
+    docs = documents(spark, sf).select("id", "text")
     features = structural.with_structural_features(docs).withColumns(
         six("avg_line_length")
     )
@@ -725,7 +723,7 @@ def n1_scaler(spark, sf):
 )
 def n2_scaled_pages(spark, sf):
     names = structural.STRUCTURAL_FEATURES
-    docs = spread_few_files(documents(spark, sf).select("id", "text"))
+    docs = documents(spark, sf).select("id", "text")
     fitted = structural.with_structural_features(docs).withColumns(
         six("avg_line_length")
     )
@@ -1782,29 +1780,35 @@ def e18_sweep_sigma(spark, sf):
 
 
 def sweep_eps_sql() -> str:
+    """One refit of all splits for every error, each with its own projections;
+    error 0 from the raw counts."""
     d = o.cosine("p.dot", "p.na", "p.nb")
-    eps = experiments.SWEEP_EPS
-    return o.sql(
-        [
-            POOL, o.counts(), o.sizes(), o.projected(eps, 0), projected_pairs("cosine"),
-            o.raw_pairs("raw_pairs"),
-            "every AS (SELECT project, eps, a, b, dot, na, nb FROM pairs UNION ALL "
-            "SELECT project, 0.0::DOUBLE, a, b, dot, na, nb FROM raw_pairs)",
-            o.drawn(SPLITS, TEST, 0, True), o.usable(),
-            o.split_candidates(d, "every", KEYS + ", p.eps"),
-            o.ranked("project, eps, split", 7),
-            o.tally("project, split, eps, query_id, query_label", "uniform"),
-            f"predicted AS (SELECT *, {o.decide('0.5::DOUBLE')} AS prediction FROM votes)",
-            o.metrics("project, split, eps", "predicted", "query_label"),
-            o.averages("project, eps"),
-        ],
-        "SELECT a.project, 'cosine' AS distance, 7 AS k, 0.5::DOUBLE AS sigma, a.eps, "
-        "round(precision, 6) AS precision, round(recall, 6) AS recall, CASE WHEN a.eps = 0 "
-        f"THEN {storage_sql('s.n_terms').replace('n_rows', 's.n_rows')} ELSE "
-        f"{storage_sql('d.dim').replace('n_rows', 's.n_rows')} END AS storage FROM "
-        "averaged a JOIN sizes s USING (project) LEFT JOIN dims d ON d.project = "
-        "a.project AND d.eps = a.eps",
-    )
+
+    def part(position: int, eps: float) -> str:
+        if eps > 0:
+            extra, sizes = " AND p.split = q.split", "JOIN dims USING (project)"
+            pairs = [
+                o.projected([eps], experiments.setting_seed(0, position), SPLITS),
+                projected_pairs("cosine", extra_keys="x.split, "),
+            ]
+        else:
+            extra, sizes = "", "JOIN (SELECT *, n_terms AS dim FROM sizes) USING (project)"
+            pairs = [o.raw_pairs()]
+        return o.sql(
+            [
+                POOL, o.counts(), o.sizes(), *pairs, o.drawn(SPLITS, TEST, 0, True), o.usable(),
+                o.split_candidates(d, "pairs", KEYS, extra=extra),
+                o.ranked("project, split", 7), o.tally(VOTE_KEYS, "uniform"),
+                f"predicted AS (SELECT *, {o.decide('0.5::DOUBLE')} AS prediction FROM votes)",
+                o.metrics("project, split", "predicted", "query_label"), o.averages("project"),
+            ],
+            f"SELECT project, 'cosine' AS distance, 7 AS k, 0.5::DOUBLE AS sigma, {eps}::DOUBLE AS eps, "
+            "round(precision, 6) AS precision, round(recall, 6) AS recall, "
+            f"{storage_sql()} AS storage FROM averaged {sizes}",
+        )
+
+    parts = [part(i, float(e)) for i, e in enumerate(experiments.SWEEP_EPS)]
+    return " UNION ALL ".join(f"({p})" for p in parts)
 
 
 @query("e16_sweep_eps", sweep_eps_sql())
@@ -1814,26 +1818,32 @@ def e16_sweep_eps(spark, sf):
 
 
 def learning_sql() -> str:
-    sizes = experiments.LEARNING_TEST_SIZES
-    return o.sql(
-        [
-            POOL, o.counts(), o.sizes(), o.projected([0.3], 0, SPLITS),
-            projected_pairs("cosine", extra_keys="x.split, "),
-            o.drawn(SPLITS, sizes, 0, True), o.usable("project, test_size, split"),
-            o.split_candidates(
-                o.cosine("p.dot", "p.na", "p.nb"), "pairs", KEYS + ", q.test_size",
-                extra=" AND p.split = q.split",
-            ),
-            o.ranked("project, test_size, split", 7),
-            o.tally("test_size, " + VOTE_KEYS, "uniform"),
-            grid_predictions([0.5, 0.95]),
-            o.metrics("project, test_size, split, sigma", "predicted", "query_label"),
-            o.averages("project, test_size, sigma", "project, test_size, split"),
-        ],
-        "SELECT project, round(1 - test_size, 10) AS \"trainingSetSize\", 7 AS k, sigma, "
-        "0.3::DOUBLE AS eps, round(precision, 6) AS precision, round(recall, 6) AS recall, "
-        f"{storage_sql()} AS storage FROM averaged JOIN dims USING (project)",
-    )
+    """For every test size splits and projections of its own."""
+
+    def part(position: int, size: float) -> str:
+        seed = experiments.setting_seed(0, position)
+        return o.sql(
+            [
+                POOL, o.counts(), o.sizes(), o.projected([0.3], seed, SPLITS),
+                projected_pairs("cosine", extra_keys="x.split, "),
+                o.drawn(SPLITS, [size], seed, True), o.usable("project, test_size, split"),
+                o.split_candidates(
+                    o.cosine("p.dot", "p.na", "p.nb"), "pairs", KEYS + ", q.test_size",
+                    extra=" AND p.split = q.split",
+                ),
+                o.ranked("project, test_size, split", 7),
+                o.tally("test_size, " + VOTE_KEYS, "uniform"),
+                grid_predictions([0.5, 0.95]),
+                o.metrics("project, test_size, split, sigma", "predicted", "query_label"),
+                o.averages("project, test_size, sigma", "project, test_size, split"),
+            ],
+            "SELECT project, round(1 - test_size, 10) AS \"trainingSetSize\", 7 AS k, sigma, "
+            "0.3::DOUBLE AS eps, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+            f"{storage_sql()} AS storage FROM averaged JOIN dims USING (project)",
+        )
+
+    parts = [part(i, t) for i, t in enumerate(experiments.LEARNING_TEST_SIZES)]
+    return " UNION ALL ".join(f"({p})" for p in parts)
 
 
 @query("e19_learning_curve", learning_sql())

@@ -64,10 +64,3 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
-
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Rows of a table in fewer files than the cluster has cores, dealt out to
-    all of them; a table of many files is returned as it is.  For heavy work
-    per row that would otherwise run on one core per file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
