@@ -30,7 +30,7 @@ MAX_TEXTS_PER_CLASS = 800
 MAX_TRAINING_CHARS = 20_000
 _LIFT, _RATIO = 8.0, 40.0
 _FEATURES = 10
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 250_000
 _WORD = re.compile(r"[^ \t-\r]+")
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 

@@ -26,9 +26,9 @@ from ._common import parts
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
 _LONGEST_KEPT = 64
-_PAIRS_KEPT = 1_000_000
+_PAIRS_KEPT = 400_000
 
 
 class PiecePrefixEncoder:

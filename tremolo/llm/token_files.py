@@ -68,7 +68,9 @@ class ChunkEncoder:
         return core.lower() if core.isascii() else core, tail
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
+        # ASCII texts are lower-cased at once, unless that could make a special token.
+        plain = [t.lower() if t and t.isascii() and "<|" not in t else t or "" for t in texts]
+        split = [t.split(" ") for t in plain]
         if len(self.known) > _CHUNKS_KEPT:
             self.known.clear()
         if len(self.cores) > _CORES_KEPT:
@@ -79,7 +81,11 @@ class ChunkEncoder:
         short = [c for c in new if len(c) <= _LONGEST_KEPT]
         made = {c: self._core(c) for c in short}
         need = {part for parts_ in made.values() for part in parts_ if part not in cores}
-        cores.update(self._learn(list(need)))
+        plain = [part for part in need if part.isascii() and part.isalpha()]
+        cores.update(self._learn(list(need.difference(plain))))
+        tokenize = self.tokenizer.model.tokenize  # one pre-token, already normal
+        for part in plain:
+            cores[part] = np.array([t.id for t in tokenize(part)], "<u4").tobytes()
         for chunk, (core, tail) in made.items():
             known[chunk] = cores[core] + cores[tail]
         if not long:
