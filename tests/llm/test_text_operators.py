@@ -215,3 +215,17 @@ def test_url_twin(spark):
     got = url_blocks.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES)
     want = {(r[0], r[4], bool(r[5])) for r in con.execute(OP8_SQL).fetchall()}
     assert {(r.page_id, r.verdict, r.spread) for r in got.collect()} == want
+
+
+def test_chunks_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.ChunkEncoder(path)
+    texts = odd_texts(3_000, seed=5) + [
+        "J̌ H̱ W̊ É COLE l'Été'S ÀÞ×÷ÿ ŒUVRE cœur. x%%% y*** don't we'LL", "İ>* İ. <|EndOfText|> a<|endoftext|>b",
+        "יִ! ª! K. ΟΔΟΣ\n\nnaïve", "\x1c\x85\xa0a　b",
+    ]
+    for text in texts:
+        want = np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode([text]) == [want], repr(text)

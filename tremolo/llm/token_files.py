@@ -11,8 +11,10 @@ A second small Arrow file beside it holds where each document starts.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,73 +26,80 @@ from pyspark.sql import functions as F
 from ..sources.materialize import materialize, scratch_path
 from ._common import parts
 
-_CHUNKS_KEPT, _CORES_KEPT = 400_000, 800_000
+_CHUNKS_KEPT = 1_000_000
 _LONGEST_KEPT = 64
-_MARKS = frozenset(".,;:!?")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Sequences in a record batch; the writer holds so much and no more.
 _BATCH_SEQUENCES = 128
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-class ChunkEncoder:
-    """Ids of texts with a tokenizer that drops white space, remembering the ids
-    of chunks between spaces; no pre-token of such a tokenizer crosses a space."""
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level vocabulary writes for bytes: visible Latin-1
+    characters stand for themselves, the others for U+0100 onwards, in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class ChunkEncoder(dict):
+    """Ids of texts with a byte-level tokenizer that drops white space, remembering
+    the ids of chunks between spaces; no pre-token of such a tokenizer crosses one.
+
+    As a mapping, chunk → ids as little-endian 32-bit integers.
+    """
 
     def __init__(self, tokenizer_path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = {}
-        for at in range(0, len(chunks), 1_000):
-            some = chunks[at : at + 1_000]
-            coded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(coded.ids, "<u4").tobytes()
-            cuts = np.searchsorted(
-                np.array(coded.word_ids, np.int64), np.arange(len(some) + 1)
-            ).tolist()
-            for chunk, a, b in zip(some, cuts, cuts[1:], strict=False):
-                found[chunk] = data[4 * a : 4 * b]
-        return found
+        self._pieces = self.tokenizer.model.tokenize  # of one pre-token in byte letters
+        self._normal = self.tokenizer.normalizer.normalize_str
+        self._letters = _byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._ids(chunk)
+        if len(chunk) <= _LONGEST_KEPT:
+            self[chunk] = ids
+        return ids
+
+    def _ids(self, chunk: str) -> bytes:
+        """Runs of letters and of marks are pre-tokens of their own: a chunk of
+        letters with marks after them is looked up by its two parts, and letters of
+        the Latin blocks go to the model directly."""
+        core = chunk.rstrip(_MARKS)
+        if core.isalpha() and max(core) < "\u0250":
+            normal = core.lower() if core.isascii() else self._normal(core)
+            if normal.isalpha():  # lower-casing may give marks
+                if len(core) < len(chunk):
+                    return self[core] + self[chunk[len(core) :]]
+                word = normal.encode().decode("latin-1").translate(self._letters)
+                return self._coded([t.id for t in self._pieces(word)])
+        return self._coded(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _coded(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     @staticmethod
-    def _core(chunk: str) -> tuple[str, str]:
-        """A chunk as letters and one mark after them, where that is all it is: runs
-        of letters and of marks are pre-tokens of their own.  ASCII letters are
-        lower-cased, as the tokenizer does it too."""
-        core, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
-        if not core.isalpha():
-            return chunk, ""
-        return core.lower() if core.isascii() else core, tail
+    def _plain(text: str) -> str:
+        """Line ends as spaces; A-Z lower-cased at once where that cannot make a
+        special token and no mark follows that would join the letter."""
+        text = text.replace("\n", " ")
+        if "<|" in text:
+            return text
+        try:
+            return text.encode("latin-1").lower().decode("latin-1")
+        except UnicodeEncodeError:
+            return text
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # ASCII texts are lower-cased at once, unless that could make a special token.
-        plain = [t.lower() if t and t.isascii() and "<|" not in t else t or "" for t in texts]
-        split = [t.split(" ") for t in plain]
-        if len(self.known) > _CHUNKS_KEPT:
-            self.known.clear()
-        if len(self.cores) > _CORES_KEPT:
-            self.cores.clear()
-        known, cores = self.known, self.cores
-        new = {c for chunks in split for c in chunks if c not in known}
-        long = self._learn([c for c in new if len(c) > _LONGEST_KEPT])
-        short = [c for c in new if len(c) <= _LONGEST_KEPT]
-        made = {c: self._core(c) for c in short}
-        need = {part for parts_ in made.values() for part in parts_ if part not in cores}
-        plain = [part for part in need if part.isascii() and part.isalpha()]
-        cores.update(self._learn(list(need.difference(plain))))
-        tokenize = self.tokenizer.model.tokenize  # one pre-token, already normal
-        for part in plain:
-            cores[part] = np.array([t.id for t in tokenize(part)], "<u4").tobytes()
-        for chunk, (core, tail) in made.items():
-            known[chunk] = cores[core] + cores[tail]
-        if not long:
-            return [b"".join([known[c] for c in chunks]) for chunks in split]
-        return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in split]
+        if len(self) > _CHUNKS_KEPT:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, self._plain(t).split(" "))) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
