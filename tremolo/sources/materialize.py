@@ -39,21 +39,22 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/tremolo/{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a scan of it; with
+    ``by``, in one folder for each value of that column."""
     spark = df.sparkSession
     path = scratch_path(spark, kind)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     table.scratch_path = path
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` returned and that no
-    later step reads."""
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete the files, or those of one part ``column=value``, of a table that
+    ``materialize`` returned and that no later step reads."""
     context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{table.scratch_path}/{part}".rstrip("/"))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
