@@ -26,9 +26,11 @@ def folded(doc_id: Column, modulus: int, remainder: int) -> Column:
     return fold(doc_id, modulus) == remainder
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``BATCH_BYTES`` of text, one row at
-    least, so that memory follows the longest text and not the batch."""
+def parts(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes of text, one row at least, so
+    that memory follows the longest text and not the batch."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = pa.compute.binary_length(texts.cast(pa.large_binary()))
@@ -36,7 +38,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = int(np.searchsorted(ends, base + BATCH_BYTES, side="right"))
+            stop = int(np.searchsorted(ends, base + size, side="right"))
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop

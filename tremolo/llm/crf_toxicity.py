@@ -31,6 +31,9 @@ MAX_TRAINING_CHARS = 20_000
 _LIFT, _RATIO = 8.0, 40.0
 _FEATURES = 10
 _WORDS_KEPT = 250_000
+#: Bytes of text whose messages are computed at once, about sixty times as many
+#: bytes of memory.
+_BATCH = 1 << 20
 _WORD = re.compile(r"[^ \t-\r]+")
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 
@@ -386,7 +389,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         kind = pa.list_(
             pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])
         )
-        for batch in parts(batches):
+        for batch in parts(batches, size=_BATCH):
             texts = batch.column(1).to_pylist()
             scores, marginals = scorer(texts)
             found = [spans(t, m) if t else [] for t, m in zip(texts, marginals, strict=True)]
@@ -409,7 +412,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in parts(batches):
+        for batch in parts(batches, size=_BATCH):
             scores, _ = scorer(batch.column(at).to_pylist())
             yield batch.filter(pa.array(scores < threshold))
 
