@@ -45,7 +45,9 @@ def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> Da
     spark = df.sparkSession
     path = scratch_path(spark, kind)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    table = spark.read.schema(df.schema).parquet(path)
+    if by:  # reading puts that column last
+        table = table.select(*df.columns)
     table.scratch_path = path
     return table
 
