@@ -25,6 +25,14 @@ def labelled(project: str = "d.source") -> str:
     )
 
 
+def whole(project: str = "source") -> str:
+    """All documents; there is a label only where ``labelled`` is used."""
+    return (
+        f"docs AS (SELECT {project} AS project, doc_id AS id, text, "
+        "NULL::INTEGER AS label FROM documents)"
+    )
+
+
 HELD_OUT = f"({hash32(chr(39) + 'held-out' + chr(39), 'id')} % 5 = 0)"
 
 

@@ -67,6 +67,12 @@ def labelled(spark: SparkSession, sf: str, pooled: bool = False) -> DataFrame:
     return docs.join(labels, "id").select("project", "id", "text", "label")
 
 
+def whole(spark: SparkSession, sf: str, pooled: bool = False) -> DataFrame:
+    """``(project, id, text)`` of all documents."""
+    project = F.lit("all") if pooled else F.col("source")
+    return documents(spark, sf).select(project.alias("project"), "id", "text")
+
+
 def held_out():
     """One fixed split: a fifth of the ids, by hash."""
     return hash32("held-out", F.col("id")) % 5 == 0
@@ -103,6 +109,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
 CODE_CTE = f"code AS (SELECT event_id, {CODE} AS text FROM events)"
 DOCS = o.labelled()
 POOL = o.labelled("'all'")
+WHOLE, WHOLE_POOL = o.whole(), o.whole("'all'")
 
 
 def six(*names: str) -> dict:
@@ -265,14 +272,14 @@ def s7_results_csv(spark, sf):
 @query(
     "s8_footprint",
     o.sql(
-        [DOCS, o.counts()],
+        [WHOLE, o.counts()],
         "SELECT count(DISTINCT id) AS n_rows, count(*) AS n_postings, "
         "count(DISTINCT id) * (count(DISTINCT term) * 8 + 8) AS dense_bytes, "
         "sum(strlen(term) + 8)::BIGINT AS posting_bytes FROM counts",
     ),
 )
 def s8_footprint(spark, sf):
-    rows = materialize(postings.term_counts(labelled(spark, sf), ["id"]), "counts")
+    rows = materialize(postings.term_counts(whole(spark, sf), ["id"]), "counts")
     return storage.footprint(rows, ["id"], None)
 
 
@@ -316,9 +323,9 @@ def t2_ngrams(spark, sf):
     )
 
 
-@query("t3_term_counts", o.sql([DOCS, o.counts()], "SELECT id, term, tf FROM counts"))
+@query("t3_term_counts", o.sql([WHOLE, o.counts()], "SELECT id, term, tf FROM counts"))
 def t3_term_counts(spark, sf):
-    return postings.term_counts(labelled(spark, sf), ["id"])
+    return postings.term_counts(whole(spark, sf), ["id"])
 
 
 @query(
@@ -347,14 +354,14 @@ TURNS_CTE = f"turns AS (SELECT {TURN} AS id, text FROM conversations)"
 @query(
     "t5_unseen_terms",
     o.sql(
-        [DOCS, TURNS_CTE, o.counts(), o.counts("turns", "id", "new")],
+        [WHOLE, TURNS_CTE, o.counts(), o.counts("turns", "id", "new")],
         "SELECT id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, "
         f"sum({CHECK} * tf)::BIGINT AS checksum FROM new WHERE term IN "
         "(SELECT term FROM counts) GROUP BY id",
     ),
 )
 def t5_unseen_terms(spark, sf):
-    vocab = postings.vocabulary(postings.term_counts(labelled(spark, sf), ["id"]))
+    vocab = postings.vocabulary(postings.term_counts(whole(spark, sf), ["id"]))
     known = postings.in_vocabulary(
         postings.term_counts(turns(spark, sf), ["id"]), vocab, ["id"]
     )
@@ -381,12 +388,12 @@ TFIDF = (
 @query(
     "t6_idf",
     o.sql(
-        [DOCS, o.counts(), IDF.format(counts="counts")],
+        [WHOLE, o.counts(), IDF.format(counts="counts")],
         "SELECT term, df, round(idf, 6) AS idf FROM idf",
     ),
 )
 def t6_idf(spark, sf):
-    docs = labelled(spark, sf)
+    docs = whole(spark, sf)
     idf = postings.smoothed_idf(postings.term_counts(docs, ["id"]), docs.count())
     return idf.withColumns(six("idf"))
 
@@ -394,12 +401,12 @@ def t6_idf(spark, sf):
 @query(
     "t7_tfidf",
     o.sql(
-        [DOCS, o.counts(), IDF.format(counts="counts"), TFIDF.format(counts="counts")],
+        [WHOLE, o.counts(), IDF.format(counts="counts"), TFIDF.format(counts="counts")],
         "SELECT id, term, round(w, 6) AS w FROM tfidf",
     ),
 )
 def t7_tfidf(spark, sf):
-    docs = labelled(spark, sf)
+    docs = whole(spark, sf)
     counts = materialize(postings.term_counts(docs, ["id"]), "counts")
     idf = postings.smoothed_idf(counts, docs.count())
     return postings.tfidf(counts, idf, ["id"]).withColumns(six("w"))
@@ -412,13 +419,13 @@ GRAM_TFIDF = [GRAMS, IDF.format(counts="grams"), TFIDF.format(counts="grams")]
 @query(
     "t8_ngram_tfidf",
     o.sql(
-        [DOCS, *GRAM_TFIDF],
+        [WHOLE, *GRAM_TFIDF],
         "SELECT id, count(*) AS n_terms, round(sum(w), 6) AS sum_w, "
         "round(max(w), 6) AS max_w FROM tfidf GROUP BY id",
     ),
 )
 def t8_ngram_tfidf(spark, sf):
-    docs = labelled(spark, sf)
+    docs = whole(spark, sf)
     counts = postings.term_counts(docs, ["id"], ngram_range=(1, 2))
     counts = materialize(counts, "counts")
     idf = postings.smoothed_idf(counts, docs.count())
@@ -821,14 +828,15 @@ SOME_EPS = [0.1, 0.3, 0.5, 0.9]
 @query(
     "d1_d3_dimensions",
     o.sql(
-        [DOCS, o.counts(), o.sizes()],
+        [WHOLE, o.counts(), o.sizes()],
         f"SELECT project, eps, n_rows, n_terms, {o.jl('n_rows', 'eps')} AS dim, "
         f"least(n_terms, {o.jl('n_rows', 'eps')})::BIGINT AS capped FROM sizes, "
         + o.values("eps", SOME_EPS),
     ),
 )
 def d1_d3_dimensions(spark, sf):
-    sizes = experiments.load_corpus(labelled(spark, sf)).sizes
+    docs = whole(spark, sf).withColumn("label", F.lit(None).cast("int"))  # not used
+    sizes = experiments.load_corpus(docs).sizes
     listed = F.array(*[F.lit(e) for e in SOME_EPS])
     dim = projection.jl_dim_column(F.col("n_rows"), F.col("eps"))
     return (
@@ -868,7 +876,7 @@ drawn_slots AS (SELECT id, {o.SLOT} AS slot, sum({o.SIGNED}) / sqrt(any_value(m)
 
 
 def fitted_projection(spark, sf):
-    docs = labelled(spark, sf)
+    docs = whole(spark, sf)
     rows = materialize(base.count_vectors(docs), "vectors")
     n_terms = rows.select(F.explode("terms")).distinct().count()
     return rows, projection.jl_dim(docs.count(), 0.3), n_terms
@@ -876,7 +884,7 @@ def fitted_projection(spark, sf):
 
 @query(
     "d4_projection",
-    o.sql([DOCS, o.counts(), draw_sql("counts", 7)], SLOT_SUMMARY.format(src="drawn_slots")),
+    o.sql([WHOLE, o.counts(), draw_sql("counts", 7)], SLOT_SUMMARY.format(src="drawn_slots")),
 )
 def d4_projection(spark, sf):
     rows, dim, n_terms = fitted_projection(spark, sf)
@@ -888,7 +896,7 @@ def d4_projection(spark, sf):
     "d4_projection_cell_tests",
     o.sql(
         [
-            DOCS, o.counts(),
+            WHOLE, o.counts(),
             "fit AS (SELECT count(DISTINCT term) AS n_terms FROM counts)",
             "hashed AS (SELECT id, tf, i, n_terms, md5(concat_ws('|', 7, term, i)) AS h "
             "FROM (SELECT id, term, tf, n_terms, unnest(range(48)) AS i "
@@ -902,7 +910,7 @@ def d4_projection(spark, sf):
     ),
 )
 def d4_projection_cell_tests(spark, sf):
-    counts = postings.term_counts(labelled(spark, sf), ["id"])
+    counts = postings.term_counts(whole(spark, sf), ["id"])
     counts = materialize(counts, "counts")
     n_terms = counts.select("term").distinct().count()
     return slot_summary(projection.cell_tests(counts, ["id"], "tf", 48, n_terms, 7))
@@ -912,7 +920,7 @@ def d4_projection_cell_tests(spark, sf):
     "d5_projection_unseen",
     o.sql(
         [
-            DOCS, TURNS_CTE, o.counts(), o.counts("turns", "id", "new"),
+            WHOLE, TURNS_CTE, o.counts(), o.counts("turns", "id", "new"),
             "known AS (SELECT * FROM new WHERE term IN (SELECT term FROM counts))",
             draw_sql("known", 7),
         ],
@@ -920,7 +928,7 @@ def d4_projection_cell_tests(spark, sf):
     ),
 )
 def d5_projection_unseen(spark, sf):
-    train, test = base.vectorize_split(labelled(spark, sf), turns(spark, sf), seed=7)
+    train, test = base.vectorize_split(whole(spark, sf), turns(spark, sf), seed=7)
     return slot_summary(projection.slot_values(test.table, ["id"]))
 
 
@@ -988,30 +996,35 @@ def fixed_candidates(distance: str, pairs: str = "pairs") -> str:
     )
 
 
-def fixed_near(metric: str, k: int) -> list[str]:
+def fixed_near(metric: str, k: int, docs: str = POOL) -> list[str]:
     """Neighbours of the held-out documents by raw counts."""
     d = o.distance_of(metric)("dot", "na", "nb")
     return [
-        POOL, o.counts(), o.raw_pairs(), fixed_candidates(d),
+        docs, o.counts(), o.raw_pairs(), fixed_candidates(d),
         o.ranked("1", k).replace("PARTITION BY 1, ", "PARTITION BY "),
     ]
 
 
 def fixed_neighbours(spark, sf, k: int, metric: str) -> DataFrame:
-    vectors = count_vectors(spark, sf)
+    return nearest_of_held_out(count_vectors(spark, sf), k, metric)
+
+
+def nearest_of_held_out(vectors: DataFrame, k: int, metric: str) -> DataFrame:
     return neighbors.knn_join(
         vectors.where(held_out()), vectors.where(~held_out()), k, metric=metric
     )
 
 
-@query("k1_k3_cosine_counts", o.sql(fixed_near("cosine", 7), NEAR))
+@query("k1_k3_cosine_counts", o.sql(fixed_near("cosine", 7, WHOLE_POOL), NEAR))
 def k1_k3_cosine_counts(spark, sf):
-    return near_summary(fixed_neighbours(spark, sf, 7, "cosine"))
+    vectors = materialize(base.count_vectors(whole(spark, sf)), "vectors")
+    return near_summary(nearest_of_held_out(vectors, 7, "cosine"))
 
 
-@query("k2_k3_euclidean_counts", o.sql(fixed_near("euclidean", 7), NEAR))
+@query("k2_k3_euclidean_counts", o.sql(fixed_near("euclidean", 7, WHOLE_POOL), NEAR))
 def k2_k3_euclidean_counts(spark, sf):
-    return near_summary(fixed_neighbours(spark, sf, 7, "euclidean"))
+    vectors = materialize(base.count_vectors(whole(spark, sf)), "vectors")
+    return near_summary(nearest_of_held_out(vectors, 7, "euclidean"))
 
 
 @query(
@@ -1043,7 +1056,7 @@ def k3_benchmark_items(spark, sf):
     "k3_tfidf_cosine",
     o.sql(
         [
-            POOL, o.counts(), IDF.format(counts="counts"), TFIDF.format(counts="counts"),
+            WHOLE_POOL, o.counts(), IDF.format(counts="counts"), TFIDF.format(counts="counts"),
             "dots AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM tfidf x "
             "JOIN tfidf y USING (term) GROUP BY ALL)",
             "pairs AS (SELECT p.id AS a, q.id AS b, coalesce(dot, 0) AS dot FROM docs p "
@@ -1057,7 +1070,7 @@ def k3_benchmark_items(spark, sf):
     ),
 )
 def k3_tfidf_cosine(spark, sf):
-    docs = labelled(spark, sf, pooled=True)
+    docs = whole(spark, sf, pooled=True)
     counts = materialize(postings.term_counts(docs, ["id"]), "counts")
     idf = postings.smoothed_idf(counts, docs.count())
     vectors = materialize(postings.tfidf_vectors(counts, idf, ["id"]), "vectors")
@@ -1100,7 +1113,7 @@ def k3_embeddings_cosine(spark, sf):
     "k4_clamped_k",
     o.sql(
         [
-            DOCS, o.counts(), o.raw_pairs(),
+            WHOLE, o.counts(), o.raw_pairs(),
             "cand AS (SELECT p.project, p.a AS query_id, p.b AS train_id, "
             + o.cosine("dot", "na", "nb")
             + f" AS distance FROM pairs p WHERE {o.HELD_OUT.replace('id)', 'p.a)')} "
@@ -1112,7 +1125,7 @@ def k3_embeddings_cosine(spark, sf):
     ),
 )
 def k4_clamped_k(spark, sf):
-    docs = labelled(spark, sf)
+    docs = whole(spark, sf)
     vectors = materialize(base.count_vectors(docs, ["project", "id"]), "vectors")
     near = neighbors.knn_join(
         vectors.where(held_out()), vectors.where(~held_out()), 40, by=["project"]
@@ -1413,12 +1426,12 @@ def a3_smote_model_default_projection(spark, sf):
 @query(
     "a8_vectorize",
     o.sql(
-        [POOL, o.counts(), draw_sql("counts", 0)],
+        [WHOLE_POOL, o.counts(), draw_sql("counts", 0)],
         SLOT_SUMMARY.format(src="drawn_slots"),
     ),
 )
 def a8_vectorize(spark, sf):
-    vectors = base.vectorize(labelled(spark, sf, pooled=True)).table
+    vectors = base.vectorize(whole(spark, sf, pooled=True)).table
     return slot_summary(projection.slot_values(vectors, ["id"]))
 
 
