@@ -81,6 +81,26 @@ def test_toxic_spans_and_edges(spark):
         assert 0 < crf_toxicity.score(frame(spark, ["a", None]), flat).first().score < 1
 
 
+def test_rare_toxic_words_are_learned_from_all_texts(spark, monkeypatch):
+    """A word of 40 toxic texts among 1,200 is rare in the sample, and not rare in all
+    labelled texts; long texts teach too, and repeated ids give one row."""
+    rng = random.Random(3)
+    plain = lambda: [f"word{rng.randrange(60)}" for _ in range(10)]
+    rows = []
+    for i in range(1_200):
+        bad = "zyxwv" if i % 30 == 0 else "stupid"
+        rows.append((i, " ".join([*plain(), *([bad] if i % 2 == 0 else []), *plain()]), i % 2 == 0))
+    rows += [(5_000 + 2 * i, " ".join(["plain"] * 5_000 + [f"w{i}", "qqqqq"]), True) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], int(r[2])) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(crf_toxicity, "MAX_TEXTS_PER_CLASS", 100)
+    assert crf_toxicity.training_texts(docs, labels, F.lit(True)).count() == 200
+    assert {b"zyxwv", b"qqqqq", b"stupid"} <= crf_toxicity.marking_terms(docs, labels, F.lit(True))
+    model = crf_toxicity.fit(docs, labels, F.lit(True))
+    got = crf_toxicity.score(frame(spark, ["word1 word2 zyxwv word3", "word1 word2 word3"]), model).collect()
+    assert sorted(len(r.spans) for r in got) == [0, 1]
+
+
 # -- Languages
 
 

@@ -4,7 +4,8 @@ Tokens have two states.  A token's log-odds are the sum of weights of the
 features of itself and its neighbours; four transition weights tie neighbours.
 Only whole documents are labelled, so token labels are derived first: a word of
 a toxic text is labelled toxic if it or its stem occurs in a far larger share of toxic than
-of clean texts.  Forward and backward messages of a batch of texts are computed at
+of clean texts.  Those shares are counted over all labelled texts (``marking_terms``);
+only the field's weights are fitted on a bounded sample.  Forward and backward messages of a batch of texts are computed at
 once (``Chain``); the marginals give spans, and a small logistic model over
 their sum, maximum and density gives the document's score.
 """
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 
 from ._common import parts, words
 
-#: The learner sees at most so many labelled texts of each class, the first by
-#: hash of their id, and of these only texts of at most so many characters.  It
-#: needs about 400 bytes of driver memory a token.
-MAX_TEXTS_PER_CLASS = 800
-MAX_TRAINING_CHARS = 20_000
+#: The field's weights come from at most so many labelled texts of each class, the
+#: first by hash of their id, whatever their length.
+MAX_TEXTS_PER_CLASS = 1_500
+#: Tokens whose messages are computed at once while weights are fitted.
+_FIT_TOKENS = 200_000
+#: Different terms held by a task before it sends their counts on.
+_TERMS_HELD = 200_000
 _LIFT, _RATIO = 8.0, 40.0
-_FEATURES = 10
+_FEATURES = 11
 _WORDS_KEPT = 250_000
 #: Bytes of text whose messages are computed at once, about sixty times as many
 #: bytes of memory.
@@ -48,13 +51,20 @@ def stems(core: bytes) -> list[bytes]:
     return [text[:k].encode() for k in range(3, 9) if k <= len(text)]
 
 
-def features(word: bytes) -> list[bytes]:
+def _terms(word: bytes) -> list[bytes]:
+    core = word.strip(_EDGE)
+    return [core, *stems(core)]
+
+
+def features(word: bytes, marking: frozenset[bytes] | set[bytes] = frozenset()) -> list[bytes]:
     """Names of a token's features: the word, its core without punctuation, the
-    core with look-alike digits and signs read as letters, the stems, and the
-    core's last three bytes."""
+    core with look-alike digits and signs read as letters, the stems, the core's
+    last three bytes, and one that all marking words share."""
     core = word.strip(_EDGE)
     named = [b"w" + word, b"c" + core, b"l" + core.translate(_LOOKALIKES), b"e" + core[-3:]]
     named += [b"s" + stem for stem in stems(core)]
+    if not marking.isdisjoint(_terms(word)):
+        named.append(b"m")
     return named + [b""] * (_FEATURES - len(named))
 
 
@@ -158,10 +168,11 @@ class Model:
     weights: np.ndarray
     transition: np.ndarray
     document: np.ndarray
+    marking: frozenset[bytes] = frozenset()
 
     def odds(self, some: list[bytes]) -> np.ndarray:
         none = len(self.names)
-        found = [[self.names.get(f, none) for f in features(w)] for w in some]
+        found = [[self.names.get(f, none) for f in features(w, self.marking)] for w in some]
         return self.weights[np.array(found)].sum(axis=1)
 
 
@@ -206,15 +217,15 @@ def token_labels(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
         seen[bool(label)].update(cores | {stem for core in cores for stem in stems(core)})
     n_toxic = int(toxic.sum())
     n_clean = len(toxic) - n_toxic
-    found = set()
-    for word, a in seen[True].items():
-        b = seen[False][word]
-        share = (a + b) / len(toxic)
-        ratio = 2 * (a * np.log(a / (n_toxic * share)) + (b * np.log(b / (n_clean * share)) if b else 0))
-        lift = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
-        if word and ratio >= _RATIO and lift >= _LIFT:
-            found.add(word)
-    return found
+    return {w for w, a in seen[True].items() if w and _marks(a, seen[False][w], n_toxic, n_clean)}
+
+
+def _marks(a: int, b: int, n_toxic: int, n_clean: int) -> bool:
+    """Whether a term of ``a`` toxic and ``b`` clean texts marks."""
+    share = (a + b) / (n_toxic + n_clean)
+    ratio = 2 * (a * np.log(a / (n_toxic * share)) + (b * np.log(b / (n_clean * share)) if b else 0))
+    lift = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
+    return bool(ratio >= _RATIO and lift >= _LIFT)
 
 
 class _Adam:
@@ -228,54 +239,74 @@ class _Adam:
         return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-9)
 
 
-def learn(texts: list[str], toxic: list[int], epochs: int = 40) -> Model:
-    """Fit field and document model.  Copies of a text count once; without both
-    classes, there are no weights and the score is the share of toxic texts."""
+def learn(texts: list[str], toxic: list[int], epochs: int = 40, marking: set[bytes] | None = None) -> Model:
+    """Fit field and document model; ``marking`` are the terms that mark, by default
+    those of ``texts``.  Copies of a text count once; without both classes, there are
+    no weights and the score is the share of toxic texts.  Messages are computed for
+    ``_FIT_TOKENS`` at once, so memory holds a few bytes a token."""
     once = {}
     for text, label in zip(texts, toxic, strict=True):
         once.setdefault(text, label)
-    tokens = [words(t) for t in once]
     label = np.array(list(once.values()), float)
+    if marking is None:
+        marking = token_labels([words(t) for t in once], label)
+    types: dict[bytes, int] = {}
+    coded = [np.array([types.setdefault(w, len(types)) for w in words(t)], np.int32) for t in once]
     transition = np.zeros((2, 2))
     rate = (label.sum() + 0.5) / (len(label) + 1)
     document = np.array([np.log(rate / (1 - rate)), 0, 0, 0])
-    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    sizes = np.array([len(t) for t in coded], dtype=np.int64)
     if label.min(initial=1) == label.max(initial=0) or len(label) < 2 or not sizes.sum():
         return Model({}, np.zeros((1, 3), np.float32), transition, document)
-    marking = token_labels(tokens, label)
-    types = {w: i for i, w in enumerate(dict.fromkeys(w for t in tokens for w in t))}
-    ids = np.fromiter((types[w] for t in tokens for w in t), np.int64, int(sizes.sum()))
-    core = lambda w: w.strip(_EDGE)
-    marked = np.array([not marking.isdisjoint([core(w), *stems(core(w))]) for w in types])
+    marked = np.array([not marking.isdisjoint(_terms(w)) for w in types])
     names: dict[bytes, int] = {}
-    of_type = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in types])
-    starts = _starts(sizes)
-    truth = (marked[ids] & np.repeat(label > 0, sizes)).astype(float)
-    inside = np.flatnonzero(~starts)
-    pairs = (truth[inside - 1] * 2 + truth[inside]).astype(int)
-    seen = np.bincount(pairs, minlength=4).reshape(2, 2)
-    n = len(ids)
+    of_type = np.array([[names.setdefault(f, len(names)) for f in features(w, marking)] for w in types], np.int32)
+    kinds, n = len(types), int(sizes.sum())
+    del types
+    groups = []  # texts in order, about ``_FIT_TOKENS`` a group
+    number = (np.cumsum(sizes) - sizes) // _FIT_TOKENS
+    for k in np.unique(number):
+        at = np.flatnonzero(number == k)
+        if sizes[at].sum():
+            ids, starts = np.concatenate([coded[i] for i in at]), _starts(sizes[at])
+            groups.append((at, ids, starts, marked[ids] & np.repeat(label[at] > 0, sizes[at])))
+    del coded
+    seen = np.zeros((2, 2))
+    for _, _, starts, truth in groups:
+        inside = np.flatnonzero(~starts)
+        seen += np.bincount(truth[inside - 1] * 2 + truth[inside], minlength=4).reshape(2, 2)
     weights = np.zeros((3, len(names)))
+
+    def type_odds() -> np.ndarray:
+        odds = np.zeros((3, kinds))
+        for j in range(of_type.shape[1]):
+            odds += weights[:, of_type[:, j]]
+        return odds
+
     by_weight, by_transition = _Adam(0.3), _Adam(0.1)
     for _ in range(epochs):
-        odds = weights[:, of_type].sum(axis=2)[:, ids]
-        chain = Chain(_shifted(odds, starts), starts, transition)
-        rest = truth - chain.marginals()
+        odds, per_type, expected = type_odds(), np.zeros((3, kinds)), np.zeros((2, 2))
+        for _, ids, starts, truth in groups:
+            chain = Chain(_shifted(odds[:, ids], starts), starts, transition)
+            rest = truth - chain.marginals()
+            after, before = np.zeros(len(ids)), np.zeros(len(ids))
+            after[:-1] = np.where(starts[1:], 0, rest[1:])
+            before[1:] = np.where(starts[1:], 0, rest[:-1])
+            for k, part in enumerate((rest, after, before)):
+                per_type[k] += np.bincount(ids, part, minlength=kinds)
+            if not starts.all():
+                expected += chain.expected_transitions()
         gradient = np.zeros_like(weights)
-        after = np.zeros(n)
-        after[:-1] = np.where(starts[1:], 0, rest[1:])
-        before = np.zeros(n)
-        before[1:] = np.where(starts[1:], 0, rest[:-1])
-        for k, part in enumerate((rest, after, before)):
-            per_type = np.bincount(ids, part, minlength=len(types))
+        for k in range(3):
             for j in range(of_type.shape[1]):
-                gradient[k] += np.bincount(of_type[:, j], per_type, minlength=len(names))
+                gradient[k] += np.bincount(of_type[:, j], per_type[k], minlength=len(names))
         weights += by_weight.step((gradient - 0.5 * weights) / n)
-        transition += by_transition.step((seen - chain.expected_transitions() - 0.5 * transition) / n)
-    odds = weights[:, of_type].sum(axis=2)[:, ids]
-    x = summaries(Chain(_shifted(odds, starts), starts, transition).marginals(), sizes)
+        transition += by_transition.step((seen - expected - 0.5 * transition) / n)
+    odds, x = type_odds(), np.zeros((len(sizes), 3))
+    for at, ids, starts, _ in groups:
+        x[at] = summaries(Chain(_shifted(odds[:, ids], starts), starts, transition).marginals(), sizes[at])
     table = np.concatenate([weights.T, np.zeros((1, 3))]).astype(np.float32)
-    return Model(names, table, transition, _logistic(x, label))
+    return Model(names, table, transition, _logistic(x, label), frozenset(marking))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -290,31 +321,74 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
-    """The bounded training sample ``(text, toxic)``: of the allowed labelled rows
-    of each class, the first ``MAX_TEXTS_PER_CLASS`` by hash of the id.  The ids
-    are chosen from the labels alone and meet the texts in a broadcast join of
-    so many rows at most."""
+def _known(labels: DataFrame, allowed) -> DataFrame:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
+    return known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
+    """The bounded training sample ``(doc_id, text, toxic)``: of the allowed labelled
+    rows of each class, the first ``MAX_TEXTS_PER_CLASS`` by hash of the id, one text
+    for each, the smallest where an id is repeated.  The ids are chosen from the
+    labels alone and meet the texts in a broadcast join of so many rows at most."""
+    known = _known(labels, allowed)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = [
-        known.where(F.col("toxic") == c).select("doc_id", "toxic").distinct()
-        .orderBy(*order).limit(MAX_TEXTS_PER_CLASS)
-        for c in (0, 1)
-    ]
+    chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(MAX_TEXTS_PER_CLASS) for c in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))
-    return (
-        docs.select("doc_id", "text").join(sample, "doc_id")
-        .where(F.length("text") <= MAX_TRAINING_CHARS).select("doc_id", "text", "toxic")
-    )
+    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(sample, "doc_id")
+    return joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+
+
+def marking_terms(docs: DataFrame, labels: DataFrame, allowed) -> set[bytes]:
+    """Terms that mark (``token_labels``) by their shares in all allowed labelled
+    texts.  Equal texts count once, as clean ones if they have both labels.  Counts
+    are added up in tasks first; only terms that mark come to the driver."""
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(_known(labels, allowed), "doc_id")
+    texts = texts.groupBy("text").agg(F.min("toxic").alias("toxic"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            a, b = (pa.array([n[k] for n in seen.values()], pa.int64()) for k in (1, 0))
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), a, b], ["term", "a", "b"])
+
+        for batch in parts(batches):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in {t for w in set(words(text)) for t in _terms(w)}:
+                    seen.setdefault(term, [0, 0])[toxic] += 1
+                if len(seen) >= _TERMS_HELD:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
+
+    total = texts.mapInArrow(count, "term binary, a long, b long").groupBy("term").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")
+    )
+    n = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    n_toxic, n_clean = n[0], n[1] - n[0]
+    if not n_toxic or not n_clean:
+        return set()
+    lift = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
+    likely = total.where((F.col("a") > 0) & (F.length("term") > 0) & (lift >= _LIFT * 0.999))
+    share = (F.col("a") + F.col("b")) / float(n[1])
+    ratio = 2 * (
+        F.col("a") * F.log(F.col("a") / (n_toxic * share))
+        + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n_clean * share))).otherwise(0.0)
+    )
+    rows = likely.where(ratio >= _RATIO * 0.999).collect()
+    return {bytes(r.term) for r in rows if _marks(r.a, r.b, n_toxic, n_clean)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed) -> Model:
-    """Fit on the driver from the bounded sample; rows are put in id order first,
-    so that the model does not depend on how they arrive."""
+    """Marking terms from all allowed labelled texts, weights on the driver from the
+    bounded sample; rows are put in id order first, so that the model does not
+    depend on how they arrive."""
+    marking = marking_terms(docs, labels, allowed)
     rows = training_texts(docs, labels, allowed).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
-    return learn([r.text for r in rows], [r.toxic for r in rows])
+    return learn([r.text for r in rows], [r.toxic for r in rows], marking=marking)
 
 
 class Scorer:
