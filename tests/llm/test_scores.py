@@ -209,3 +209,15 @@ def test_licenses(spark):
     assert got[4].digest == got[5].digest == got[6].digest
     with pytest.raises(ValueError):
         licenses.known_digests(spark, [("a", "b")] * 6_000)
+
+
+def test_whole_license_texts(spark):
+    """Whole texts of every family, wrapped and dated anew."""
+    whole = dict(licenses.whole_texts())
+    names = [
+        "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0",
+        "BSD-2-Clause", "BSD-3-Clause", "Unlicense",
+    ]
+    texts = ["Copyright (c) 2021 A. Person\n" + whole[n].upper().replace("  ", " ") for n in names]
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(names))] == names

@@ -9,6 +9,7 @@ licence if the SHA-256 digests of both forms are equal.  DataFrame functions onl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"),
 )
 
-# Known licence texts and notices.
+# Known notices and short texts; whole texts are in ``license_texts``.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
@@ -37,6 +38,14 @@ KNOWN = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """``(licence, text)`` of the files ``license_texts/<licence>.txt``."""
+    files = (resources.files(__package__) / "license_texts").iterdir()
+    return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files if f.name.endswith(".txt"))
+
+
 _COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©)[^\n]*$"
 
 
@@ -66,10 +75,11 @@ def known_digests(
     return [(name, d) for d, name in found.items()]
 
 
-def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``(doc_id, digest, license, line_licenses)`` of every row of
     ``docs(doc_id, text)``.
 
+    ``known`` are by default ``KNOWN`` and ``whole_texts()``.
     ``license`` is the known licence whose text the whole text is, or null;
     ``line_licenses`` are the licences that single lines are, each once, in
     alphabetic order.  Null and empty texts, and texts of copyright lines only,
@@ -78,7 +88,7 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame
     bounded and broadcast, so nothing is shuffled.
     """
     spark = docs.sparkSession
-    table = known_digests(spark, known)
+    table = known_digests(spark, [*KNOWN, *whole_texts()] if known is None else known)
     side = spark.createDataFrame(table, "license string, known string")
     by_digest = F.create_map(*[F.lit(x) for name, d in table for x in (d, name)])
     lines = F.transform(F.split("text", "\n"), digest)
