@@ -151,6 +151,25 @@ def s1_read_texts(spark, sf):
     )
 
 
+@query(
+    "s1_read_all_texts",
+    o.sql(
+        [WHOLE],
+        "SELECT count(*) AS n_texts, sum(length(text) + 1)::BIGINT AS n_chars FROM docs",
+    ),
+)
+def s1_read_all_texts(spark, sf):
+    """All documents, also those without a label."""
+    folder = scratch_path(spark, "folders")
+    whole(spark, sf).select("project", "text").write.partitionBy("project").option(
+        "maxRecordsPerFile", 1
+    ).text(folder)
+    return text_folders.read_texts(spark, f"{folder}/*/*.txt").agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.sum(F.length("text")).alias("n_chars"),
+    )
+
+
 @query(
     "s3_read_projects",
     o.sql(
