@@ -16,8 +16,11 @@ from . import (
     licenses,
     near_dedup,
     piece_prefix,
+    simhash_anchors,
+    target_resampling,
     token_files,
     url_blocks,
+    vector_codes,
 )
 from ._common import folded, read
 
@@ -203,3 +206,84 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = folded(F.col("doc_id"), 10, 0)
     return hpyp.score_texts(docs, ~held_out).withColumn("held_out", held_out)
+
+
+def _op11_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Two rounds on long tables: one row per vector, part and component."""
+    steps = [
+        f"""b0 AS (SELECT part, rank - 1 AS entry, pos, x FROM (
+            SELECT *, dense_rank() OVER (ORDER BY vec_id) AS rank FROM cells) WHERE rank <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""g{i} AS MATERIALIZED (SELECT vec_id, part, entry, sum((c.x - b.x) * (c.x - b.x)) AS gap
+            FROM cells c JOIN b{i} b USING (part, pos) GROUP BY ALL)"""
+        )
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, gap * 1000 + entry) AS entry,
+            min(gap) AS gap FROM g{i} GROUP BY ALL)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""b{i + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+                SELECT part, entry, pos, sum(c.x) // count(*) - CASE WHEN sum(c.x) % count(*) < 0 THEN 1 ELSE 0 END AS x
+                FROM cells c JOIN a{i} USING (vec_id, part) GROUP BY ALL) m USING (part, entry, pos))"""
+            )
+    chain = ",\n".join(steps)
+    return f"""WITH kept AS (SELECT vec_id, label, embedding, len(embedding) // {parts} AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (SELECT vec_id, (i - 1) // d AS part, (i - 1) % d AS pos,
+  floor(256 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT vec_id, embedding, d, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+{chain},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error
+  FROM a{rounds} JOIN kept USING (vec_id) GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM coded"""
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return vector_codes.compress(vectors).drop("label")
+
+
+@query("op12_simhash_anchors")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.near_components(read(spark, sf_dir, "documents"), size=4, threshold=4)
+
+
+#: CRC-32 in SQL: the table by its rule, then a fold over the bytes of a word.
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP13_SQL = rf"""WITH table_ AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b))),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS_SQL} AS words FROM documents),
+items AS (SELECT {_WORDS_SQL} AS words FROM benchmark),
+in_docs AS (SELECT row, unnest(words) AS word FROM docs),
+in_items AS (SELECT unnest(words) AS word FROM items),
+named AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, 2 * strlen(word), 2), lambda i: ('0x' || substr(hex(encode(word)), i::BIGINT, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM in_docs UNION SELECT word FROM in_items), table_),
+s AS (SELECT bucket, count(*) AS n FROM in_docs JOIN named USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM in_items JOIN named USING (word) GROUP BY 1),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)
+    / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)))) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM in_docs JOIN named USING (word) JOIN gains USING (bucket) GROUP BY row),
+scored AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256(concat('2024:', doc_id))[:8])::BIGINT + 0.5::DOUBLE)
+    / 4294967296)))::BIGINT AS score FROM docs LEFT JOIN weights USING (row)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM ordered"""
+
+
+@query("op13_target_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return target_resampling.resample(docs, target, percent=10, seed=2024, buckets=10_000, max_words=1, least_words=20)
