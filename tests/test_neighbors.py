@@ -53,12 +53,12 @@ def frame(spark, m, form, **extra):
 
 def brute_distance(a, b, metric):
     if metric == "euclidean":
-        return round(float(np.linalg.norm(a - b)), 10)
+        return round(float(np.linalg.norm(a - b)), 12)
     na, nb = float(a @ a), float(b @ b)
     if na * nb == 0:
         return 1.0
     d = 1 - float(a @ b) / math.sqrt(na * nb)
-    return round(0.0 if d < 1e-12 else d, 10)
+    return round(0.0 if d < 1e-12 else d, 12)
 
 
 def brute(m, queries, train, k, metric):

@@ -163,6 +163,10 @@ def _matrix_products(a: np.ndarray, b: np.ndarray):
 
 
 def distances(dots, l_sq, r_sq, metric: str) -> np.ndarray:
+    """Distances to 12 places, so that rows equal but for the order of additions tie;
+    a vector with a component that is not finite is an error."""
+    if not (np.isfinite(l_sq).all() and np.isfinite(r_sq).all()):
+        raise ValueError("vectors must have finite components")
     if metric == "cosine":
         scale = np.sqrt(np.outer(l_sq, r_sq))
         out = np.ones_like(dots)
@@ -175,7 +179,7 @@ def distances(dots, l_sq, r_sq, metric: str) -> np.ndarray:
         out = total - 2.0 * dots
         out[out < 0.1 * SNAP * total] = 0.0
         np.sqrt(out, out=out)
-    return np.round(out, 10)
+    return np.round(out, 12)
 
 
 def _membership(table: pa.Table, listed: np.ndarray) -> np.ndarray:
@@ -189,6 +193,32 @@ def _membership(table: pa.Table, listed: np.ndarray) -> np.ndarray:
     return out
 
 
+def hide_self(dist, left, right) -> None:
+    """No row is its own neighbour."""
+    same = pc.index_in(_column(left, "id"), value_set=_column(right, "id"))
+    hit = np.asarray(same.is_valid())
+    dist[hit, np.asarray(same.fill_null(0))[hit]] = np.inf
+
+
+def best_per_row(dist, k):
+    """Index arrays (row, column) of the k least values of every row, in order; of
+    equal values the first columns."""
+    n, width = dist.shape
+    k = min(k, width)
+    if k == 0:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    if 4 * k >= width:
+        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        return np.repeat(np.arange(n), k), order.reshape(-1)
+    last = np.partition(dist, k - 1, axis=1)[:, k - 1]
+    rows, columns = np.nonzero(dist <= last[:, None])  # k of each, or more with ties
+    order = np.lexsort((columns, dist[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
+
+
 def _best_per_split(dist, test_in, train_in, k):
     """Index arrays (split code, query, training row) of the k best rows of
     every query in every split that tests it."""
@@ -232,9 +262,7 @@ def nearest_in_block(left, right, *, k, metric, by, with_splits, exclude_self, s
     right = right.sort_by("id")  # position order is id order: ties need no key
     dist = distances(*products(left, right), metric)
     if exclude_self:
-        same = pc.index_in(_column(left, "id"), value_set=_column(right, "id"))
-        hit = np.asarray(same.is_valid())
-        dist[hit, np.asarray(same.fill_null(0))[hit]] = np.inf
+        hide_self(dist, left, right)
 
     numbers = {}
     if with_splits:
@@ -244,10 +272,7 @@ def nearest_in_block(left, right, *, k, metric, by, with_splits, exclude_self, s
         )
         numbers["split"] = listed[s_idx]
     else:
-        width = min(k, right.num_rows)
-        order = np.argsort(dist, axis=1, kind="stable")[:, :width]
-        q_idx = np.repeat(np.arange(left.num_rows), width)
-        t_idx = order.reshape(-1)
+        q_idx, t_idx = best_per_row(dist, k)
     return _rows(left, right, schema, by, q_idx, t_idx, dist[q_idx, t_idx], numbers)
 
 

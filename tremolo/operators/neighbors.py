@@ -11,9 +11,11 @@ Each side of each group is cut into blocks of bounded size by a hash of the id,
 so a group with a third of all rows becomes many blocks, like any other group.
 Every (query block, training block) pair is one cogrouped task unit that keeps
 only its k best rows per query; a window merges these short lists.  Row pairs
-are never emitted and no side has to fit into one executor.  A text pair that
-shares no term is a legal neighbour (cosine distance 1), which the blocks see
-and an inverted index would not.
+are never emitted and no side has to fit into one executor.
+
+Where a group has many blocks, pairs of blocks are pruned first
+(:mod:`.pivot_index`): blocks are cut by nearness, and a query meets only blocks
+that may hold one of its k nearest rows.
 
 Cross-validation is answered by *one* pass: a row carries the list of splits in
 which it is a query (or a training row), the distances of a block pair are
@@ -31,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.materialize import materialize
 from ._block_kernel import nearest_in_block, nearest_under_projections
+from .pivot_index import PivotIndex
 from .projection import PRIME, draw_functions
 
 METRICS = ("cosine", "euclidean")
@@ -41,6 +44,9 @@ MIN_BLOCK_ROWS = 128  # smaller blocks only add overhead
 # lists to merge, query blocks do not, so parallelism comes from the latter.
 QUERY_SPREAD = 8
 TRAIN_SPREAD = 2
+# Training rows of a group from which blocks are pruned; with fewer there are so
+# few blocks that building the index costs more than it saves.
+PRUNE_FROM = 4 * MAX_BLOCK_ROWS
 
 
 def block_count(n_rows: Column, n_values: Column, spread: int) -> Column:
@@ -75,6 +81,8 @@ def knn_join(
     by: list[str] | None = None,
     with_splits: bool = False,
     exclude_self: bool = False,
+    prune: bool | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(*by, [split,] query_id, [query_label,] train_id, [label,] distance,
     rank)``.
@@ -84,6 +92,10 @@ def knn_join(
     the row is a query, respectively a training row.  Fewer than k training
     rows give fewer neighbours.  Order and ties are ``(distance, train_id)``.
 
+    ``prune`` says whether to build a pivot index, with about ``block_rows``
+    rows in a block; by default it is built where a group has ``PRUNE_FROM``
+    training rows.  With splits no index is used.  Both ways are exact.
+
     Each input is scanned twice (sizes, then rows): hand in materialized
     tables rather than long plans.
     """
@@ -94,6 +106,11 @@ def knn_join(
     q_label = ["label"] if "label" in queries.columns else []
     t_label = ["label"] if "label" in train.columns else []
     size = F.size(vector[0])
+    if prune is None:
+        prune = not with_splits and _largest_group(train, by) >= PRUNE_FROM
+    if prune:
+        labels = (q_label, t_label)
+        return _pruned(queries, train, k, metric, by, vector, labels, exclude_self, block_rows)
     pairs = _Pairs(queries, train, by, size, [*vector, *extra], q_label, t_label)
 
     schema = _result_schema(queries, train, by, ["split"] if with_splits else [])
@@ -112,6 +129,23 @@ def knn_join(
     )
 
 
+def _largest_group(train: DataFrame, by: list[str]) -> int:
+    counts = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def _pruned(queries, train, k, metric, by, vector, labels, exclude_self, block_rows) -> DataFrame:
+    keys, (q_label, t_label) = by or ["_all"], labels
+    if not by:
+        queries, train = (side.withColumn("_all", F.lit(0)) for side in (queries, train))
+    queries = queries.select(*keys, "id", *q_label, *vector)
+    train = train.select(*keys, "id", *t_label, *vector)
+    index = PivotIndex(train, vector, metric, keys, block_rows)
+    schema = _result_schema(queries, train, keys, [])
+    found = top_k(index.search(queries, k, schema, exclude_self), k, keys)
+    return found if by else found.drop("_all")
+
+
 def projected_knn_join(
     rows: DataFrame,
     k: int,

@@ -128,14 +128,14 @@ def cosine(dot: str, na: str, nb: str) -> str:
     return (
         f"CASE WHEN {na} * {nb} = 0 THEN 1.0 ELSE round(CASE WHEN "
         f"1 - {dot} / sqrt({na} * {nb}) < 1e-12 THEN 0.0 ELSE "
-        f"1 - {dot} / sqrt({na} * {nb}) END, 10) END"
+        f"1 - {dot} / sqrt({na} * {nb}) END, 12) END"
     )
 
 
 def euclid(dot: str, na: str, nb: str) -> str:
     return (
         f"round(sqrt(CASE WHEN {na} + {nb} - 2 * {dot} < 1e-13 * ({na} + {nb}) "
-        f"THEN 0.0 ELSE {na} + {nb} - 2 * {dot} END), 10)"
+        f"THEN 0.0 ELSE {na} + {nb} - 2 * {dot} END), 12)"
     )
 
 

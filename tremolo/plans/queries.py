@@ -1081,7 +1081,7 @@ def k3_benchmark_items(spark, sf):
             "pairs AS (SELECT p.id AS a, q.id AS b, coalesce(dot, 0) AS dot FROM docs p "
             "CROSS JOIN docs q LEFT JOIN dots ON dots.a = p.id AND dots.b = q.id)",
             fixed_candidates(
-                "round(CASE WHEN 1 - dot < 1e-12 THEN 0.0 ELSE 1 - dot END, 10)"
+                "round(CASE WHEN 1 - dot < 1e-12 THEN 0.0 ELSE 1 - dot END, 12)"
             ),
             o.ranked("1", 7).replace("PARTITION BY 1, ", "PARTITION BY "),
         ],
@@ -1106,7 +1106,7 @@ def dense_near(metric: str, k: int, where: str) -> list[str]:
             "list_dot_product(q.vec, q.vec)",
         )
     else:
-        d = "round(list_distance(p.vec, q.vec), 10)"
+        d = "round(list_distance(p.vec, q.vec), 12)"
     return [
         EMB,
         f"cand AS (SELECT p.id AS query_id, q.id AS train_id, p.label AS query_label, "
@@ -1128,6 +1128,40 @@ def k3_embeddings_cosine(spark, sf):
     )
 
 
+@query("k2_pivot_index", o.sql(dense_near("euclidean", 5, "p.id <> q.id"), NEAR))
+def k2_pivot_index(spark, sf):
+    """The nearest rows of every row, through an index with blocks of 64 rows."""
+    vectors = embeddings(spark, sf).select("id", "vec")
+    return near_summary(
+        neighbors.knn_join(
+            vectors, vectors, 5, metric="euclidean", exclude_self=True, prune=True, block_rows=64
+        )
+    )
+
+
+@query(
+    "k3_pivot_index_projects",
+    o.sql(
+        [
+            WHOLE, o.counts(), o.raw_pairs(),
+            "cand AS (SELECT p.project, p.a AS query_id, p.b AS train_id, "
+            + o.cosine("dot", "na", "nb")
+            + f" AS distance FROM pairs p WHERE {o.HELD_OUT.replace('id)', 'p.a)')} "
+            f"AND NOT {o.HELD_OUT.replace('id)', 'p.b)')})",
+            o.ranked("project", 7),
+        ],
+        NEAR.replace("SELECT", "SELECT project,"),
+    ),
+)
+def k3_pivot_index_projects(spark, sf):
+    """Texts inside their project, through an index of each project."""
+    vectors = materialize(base.count_vectors(whole(spark, sf), ["project", "id"]), "vectors")
+    near = neighbors.knn_join(
+        vectors.where(held_out()), vectors.where(~held_out()), 7, by=["project"], prune=True, block_rows=64
+    )
+    return near_summary(near, "project")
+
+
 @query(
     "k4_clamped_k",
     o.sql(
