@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tremolo.functions import text
 from tremolo.functions.structural import STRUCTURAL_FEATURES, with_structural_features
 from tremolo.operators import patterns, postings, scaling, storage
 from tremolo.operators.skew import lookup
@@ -97,20 +98,61 @@ def test_unknown_terms_are_dropped(spark, docs):
     assert {r.term for r in known.collect()} == {"the", "fox"}
 
 
-@pytest.mark.parametrize("bound", [0, 1, 3])
-def test_lookup_with_hot_keys(spark, bound):
+@pytest.mark.parametrize("salt_rows", [1, 7, 1000])
+def test_lookup_with_hot_keys(spark, salt_rows):
     """One key holds most rows; the result is the plain join for any bound."""
     rows = spark.range(1000).select(
         "id", F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("hot").alias("k")
     )
+    rows = rows.union(spark.createDataFrame([(-1, None), (-2, "3"), (-3, "3")], "id BIGINT, k STRING"))
     table = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> '3'")
-    got = lookup(rows, table, "k", "n", ["id"], hot_rows=2, max_hot_keys=bound)
+    got = lookup(rows, table, "k", "n", ["id"], salt_rows=salt_rows)
     want = rows.join(table, "k")
     assert sorted((r.id, r.k, r.n) for r in got.collect()) == sorted(
         (r.id, r.k, r.n) for r in want.collect()
     )
 
 
+def test_lookup_leaves_partitions_even(spark):
+    """A key with half of all rows is spread over all partitions."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        found = lookup(rows, table, "k", "n", ["id"], salt_rows=250)
+        sizes = found.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sizes.sum() == 20_000 and sizes.max() < 1.5 * sizes.mean()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bounds", [(1, 1), (1, 2)])
+def test_terms_are_counted_inside_the_row(docs, bounds):
+    """No exchange until a term is the key, and the text is tokenised once."""
+    for counted in (
+        postings.term_counts(docs, ["id"], ngram_range=bounds),
+        postings.term_counts(docs, ["id"], ngram_range=bounds, outer=True),
+        postings.count_vectors(docs, ["id"], ngram_range=bounds),
+    ):
+        shown = plan(counted)
+        assert "Exchange" not in shown and "Python" not in shown
+        assert shown.count("regexp_extract_all(") == 1
+
+
+def test_run_lengths(spark):
+    rows = [([],), (None,), (["b"],), (["b", "a", "b", "é", "a", "b"],), (["x"] * 1000,)]
+    df = spark.createDataFrame(rows, "t ARRAY<STRING>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(text.term_frequencies(F.col("t"))).collect()]
+    assert got == [[], [], [("b", 1)], [("a", 2), ("b", 3), ("é", 1)], [("x", 1000)]]
+
+
 def test_footprint(docs):
     counts = postings.term_counts(docs, ["id"], outer=True)
     row = storage.footprint(counts, ["id"], 10).first()

@@ -4,46 +4,55 @@ No vocabulary index is built: terms stay strings, so there is no global
 numbering, no cap on the vocabulary and nothing to collect.
 
 ``keys`` are the columns that name one text: ``[id]``, or grouping columns such
-as a project followed by the id.  Texts are spread by these keys *before* the
-tokens are exploded, so counting terms, norms and vectors per text all reuse
-that one exchange.
+as a project followed by the id; there is one row for each text.  A text's terms
+are counted inside its row, by sorting them in an array, so counts and count
+vectors need no exchange; the first one is where terms of different texts meet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
 from .skew import lookup
 
 
-def term_rows(
+def frequencies(
+    text: Column, ngram_range: tuple[int, int] = (1, 1)
+) -> Column:
+    """``ARRAY<STRUCT<term, tf>>`` of a text."""
+    return txt.term_frequencies(txt.ngrams(txt.tokens(text), ngram_range))
+
+
+def term_counts(
     docs: DataFrame,
     keys: list[str],
     text_col: str = "text",
     ngram_range: tuple[int, int] = (1, 1),
     outer: bool = False,
 ) -> DataFrame:
-    """One row per term occurrence; with ``outer`` a text without terms keeps
-    one row whose term is NULL."""
-    spread = docs.select(*keys, F.col(text_col).alias("_text")).repartition(*keys)
-    toks = spread.select(*keys, txt.tokens(F.col("_text")).alias("_tokens"))
-    terms = txt.ngrams(F.col("_tokens"), ngram_range)
-    explode = F.explode_outer if outer else F.explode
-    return toks.select(*keys, explode(terms).alias("term"))
+    """Term frequency per text: ``(*keys, term, tf)``.  With ``outer`` a text
+    without terms keeps one row, whose term is NULL and whose count is 0."""
+    counted = docs.select(*keys, frequencies(F.col(text_col), ngram_range).alias("_f"))
+    # An inner ``inline`` would be given a filter that counts the terms once more.
+    rows = counted.select(*keys, F.inline_outer("_f"))
+    if not outer:
+        return rows.where(F.col("term").isNotNull())
+    return rows.withColumn("tf", F.coalesce("tf", F.lit(0).cast("long")))
 
 
-def term_counts(
+def count_vectors(
     docs: DataFrame,
     keys: list[str],
     text_col: str = "text",
     ngram_range: tuple[int, int] = (1, 1),
-    outer: bool = False,
 ) -> DataFrame:
-    """Term frequency per text: ``(*keys, term, tf)``."""
-    rows = term_rows(docs, keys, text_col, ngram_range, outer)
-    return rows.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
+    """One row per text, without any exchange: ``(*keys, terms, weights)``."""
+    counted = docs.select(*keys, frequencies(F.col(text_col), ngram_range).alias("_f"))
+    return counted.select(
+        *keys, F.col("_f")["term"].alias("terms"), F.col("_f")["tf"].cast("array<double>").alias("weights")
+    )
 
 
 def vocabulary(postings: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -75,12 +84,6 @@ def in_vocabulary(postings: DataFrame, vocab: DataFrame, keys: list[str]) -> Dat
     return lookup(postings, vocab, "term", "df", keys).select(*postings.columns)
 
 
-def l2_normalized(postings: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Scale every text's weights to unit length."""
-    norm = F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(*keys)))
-    return postings.withColumn(weight, F.col(weight) / norm)
-
-
 def weighted_terms(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     """``tf * idf`` before normalising: ``(*keys, term, w)``.  Terms outside the
     fitted vocabulary are dropped by the same join."""
@@ -91,7 +94,8 @@ def weighted_terms(postings: DataFrame, idf: DataFrame, keys: list[str]) -> Data
 
 def tfidf(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     """``tf * idf`` with unit-length rows: ``(*keys, term, w)``."""
-    return l2_normalized(weighted_terms(postings, idf, keys), keys, "w")
+    rows = tfidf_vectors(postings, idf, keys)
+    return rows.select(*keys, F.inline(F.arrays_zip("terms", "weights")).alias("term", "w"))
 
 
 def tfidf_vectors(postings: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key counts as hot from this many rows on.  There can be at most
-# rows / HOT_ROWS hot keys, and at most MAX_HOT_KEYS of them are broadcast.
-HOT_ROWS = 200_000
-MAX_HOT_KEYS = 20_000
+from ..sources.materialize import materialize
+
+#: Rows of one key that one salt carries, about.
+SALT_ROWS = 50_000
+#: Entries of the table of salts: a fixed bound, whatever the number of keys.
+SALT_BUCKETS = 1 << 16
 
 
 def lookup(
@@ -18,42 +20,36 @@ def lookup(
     frequency: str,
     spread: list[str],
     *,
-    hot_rows: int = HOT_ROWS,
-    max_hot_keys: int = MAX_HOT_KEYS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """Inner join of ``rows`` with the one-row-per-key ``table``.
 
-    ``table[frequency]`` says how many rows carry the key.  Keys with
-    ``hot_rows`` rows or more travel in a broadcast of at most
-    ``max_hot_keys`` entries, so their rows are matched where they are; those
-    rows then take a throw-away key made from ``spread`` in the shuffle join
-    that serves all other keys, which keeps every partition even.
+    ``table[frequency]`` says how many rows carry the key.  A key gets a salt for
+    every ``salt_rows`` of them: its rows take one by a hash of ``spread``, and its
+    entry of the table is copied once per salt, so no partition holds more of a key
+    than that.  Both sides read the number of salts from a table of ``SALT_BUCKETS``
+    hashed keys, each with the largest number that one of its keys needs; buckets of
+    one salt are left out.  The plan is the same for all keys and sizes.
     """
-    value_cols = [c for c in table.columns if c != key]
-    ranked = (
-        table.where(F.col(frequency) >= hot_rows)
-        .orderBy(F.col(frequency).desc(), F.col(key))
-        .limit(max_hot_keys)
-    )
-    hot = ranked.select(
-        F.col(key).alias("_hot_key"), F.struct(*value_cols).alias("_hot")
-    )
-    # Everything else, including hot keys beyond the broadcast bound, stays in
-    # the shuffled side; a key found in both places has equal values.
-    cold = table.select(
-        F.col(key).alias("_cold_key"), F.struct(*value_cols).alias("_cold")
-    )
-    matched = rows.join(F.broadcast(hot), rows[key] == F.col("_hot_key"), "left")
-    shuffle_key = F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(
-        F.concat(F.lit("\x00"), F.hash(*spread).cast("string"))
-    )
-    joined = (
-        matched.withColumn("_shuffle_key", shuffle_key)
-        .join(cold, F.col("_shuffle_key") == F.col("_cold_key"), "left")
-        .withColumn("_value", F.coalesce("_hot", "_cold"))
-        .where(F.col("_value").isNotNull())
-    )
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.col("_value")[c].alias(c) for c in value_cols],
-    )
+    values = [c for c in table.columns if c != key]
+    table = materialize(table, "lookup")
+    needed = F.max(F.ceil(F.col(frequency) / salt_rows)).cast("int").alias("_salts")
+    salts = materialize(table.groupBy(_bucket(key).alias("_bucket")).agg(needed).where("_salts > 1"), "salts")
+
+    def salted(side: DataFrame) -> DataFrame:
+        # At most SALT_BUCKETS rows of two integers.
+        found = side.withColumn("_bucket", _bucket(key)).join(F.broadcast(salts), "_bucket", "left")
+        return found.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    own = F.pmod(F.xxhash64(*spread, F.lit("salt")), F.col("_salts").cast("long")).cast("int")
+    left = salted(rows).withColumn("_salt", own).select(*rows.columns, "_salt")
+    right = salted(table).select(
+        F.col(key).alias("_key"), *[F.col(c).alias(f"_v_{c}") for c in values],
+        F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_copy"),
+    )
+    joined = left.join(right, (left[key] == right["_key"]) & (left["_salt"] == right["_copy"]))
+    return joined.select(*rows.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALT_BUCKETS)).cast("int")

@@ -53,9 +53,7 @@ def vectorize_split(
 
 
 def count_vectors(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    keys = keys or ["id"]
-    counts = postings.term_counts(docs, keys, outer=True)
-    return postings.sparse_vectors(counts, keys, "tf")
+    return postings.count_vectors(docs, keys or ["id"])
 
 
 def _projected(
