@@ -190,8 +190,8 @@ def test_projection_inside_blocks_equals_projected_rows(spark, small_blocks):
         }
     )
     near = neighbors.projected_knn_join(
-        coded, 3, seed=seed, settings=[0, 1], stride=2,
-        max_draws=projection.n_draws(dim, features),
+        coded, 3, settings=[(0, (seed, 0), 0, 2), (1, (seed, 1), 2, 2)],
+        max_draws=[projection.n_draws(dim, features)] * 2, metrics=["cosine"],
     )
     want = []
     for s in range(4):

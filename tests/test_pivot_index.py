@@ -29,7 +29,7 @@ def test_equals_brute_force(spark, small_index, form, metric):
     m[7] = 0  # two zero vectors, and copies of many rows
     m[40:50] = m[11]
     df = frame(spark, m, form)
-    near = neighbors.knn_join(df.where("id < 20"), df.where("id >= 2"), 5, metric=metric, prune=True)
+    near = neighbors.knn_join(df.where("id < 20"), df.where("id >= 2"), 5, metric=metric, index="pivots")
     same(collected(near), sorted(brute(m, range(20), range(2, 60), 5, metric)))
 
 
@@ -37,7 +37,7 @@ def test_equals_brute_force(spark, small_index, form, metric):
 def test_clusters_equal_brute_force(spark, small_index, metric):
     m = clustered(6, 12, 4, 3)
     df = frame(spark, m, "vec")
-    near = neighbors.knn_join(df, df, 4, metric=metric, exclude_self=True, prune=True)
+    near = neighbors.knn_join(df, df, 4, metric=metric, exclude_self=True, index="pivots")
     want = []
     for q in range(len(m)):
         want += brute(m, [q], [t for t in range(len(m)) if t != q], 4, metric)
@@ -51,7 +51,7 @@ def test_groups_a_hot_one_and_few_rows(spark, small_index):
         return "hot" if i % 6 else f"g{i % 4}"
 
     df = frame(spark, m, "terms", g=group)
-    near = neighbors.knn_join(df.where("id % 5 = 0"), df.where("id % 5 <> 0"), 9, by=["g"], prune=True)
+    near = neighbors.knn_join(df.where("id % 5 = 0"), df.where("id % 5 <> 0"), 9, by=["g"], index="pivots")
     want = []
     for name in {group(i) for i in range(70)}:
         ids = [i for i in range(70) if group(i) == name]
@@ -64,13 +64,13 @@ def test_the_index_is_used_for_large_groups(spark, small_index, monkeypatch):
     m = matrix(30, 10, 6)
     df = frame(spark, m, "vec")
     built = []
-    whole = neighbors._pruned
+    whole = neighbors._indexed
 
     def noted(*args):
         built.append(args)
         return whole(*args)
 
-    monkeypatch.setattr(neighbors, "_pruned", noted)
+    monkeypatch.setattr(neighbors, "_indexed", noted)
     neighbors.knn_join(df, df, 3)
     assert not built
     monkeypatch.setattr(neighbors, "PRUNE_FROM", 20)
@@ -105,14 +105,14 @@ def test_rows_not_pivots_are_cut_once(spark, small_index):
     assert sum(sizes) == 80 and max(sizes) <= 4 * pivot_index.BLOCK_ROWS
 
 
-@pytest.mark.parametrize("prune", [False, True])
-def test_components_that_are_not_finite_are_an_error(spark, small_index, prune):
+@pytest.mark.parametrize("index", ["blocks", "pivots"])
+def test_components_that_are_not_finite_are_an_error(spark, small_index, index):
     m = matrix(30, 5, 9)
     m[4, 2] = np.nan
     df = frame(spark, m, "vec")
     for metric in neighbors.METRICS:
         with pytest.raises(Exception, match="finite"):
-            neighbors.knn_join(df, df, 2, metric=metric, prune=prune).collect()
+            neighbors.knn_join(df, df, 2, metric=metric, index=index).collect()
 
 
 def test_best_per_row_orders_ties_by_column():

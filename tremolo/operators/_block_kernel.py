@@ -133,21 +133,43 @@ def _slot_products(left: pa.Table, right: pa.Table):
     return dots, l_sq, r_sq
 
 
-def _projected(table: pa.Table, dim: int, draws, prime: int) -> np.ndarray:
-    """Coded sparse rows under one random projection, as a dense matrix."""
-    rows, codes = _row_numbers(_column(table, "codes")), _flat(table, "codes")
-    weights = _flat(table, "weights") / np.sqrt(len(draws))
-    high, low = codes >> 30, codes & ((1 << 30) - 1)
-    out = np.zeros((table.num_rows, dim))
-    step = max(1, PAIR_CHUNK // max(1, len(codes)))
-    for i in range(0, len(draws), step):
-        a, b, c, d = (np.array(v)[:, None] for v in zip(*draws[i : i + step]))
-        sign = 1 - 2 * (((c * low + d) % prime) & 1)
-        cell = rows * dim + (a * high + b) % prime % dim
-        out += np.bincount(
-            cell.ravel(), (sign * weights).ravel(), minlength=out.size
-        ).reshape(out.shape)
-    return out
+class _Coded:
+    """A block of coded sparse rows.  Hashes are taken once per different code."""
+
+    def __init__(self, table: pa.Table):
+        self.n = table.num_rows
+        self.rows = _row_numbers(_column(table, "codes"))
+        self.weights = np.asarray(_flat(table, "weights"), dtype=np.float64)
+        self.codes = _flat(table, "codes")
+        different, self.at = np.unique(self.codes, return_inverse=True)
+        self.high, self.low = different >> 30, different & ((1 << 30) - 1)
+
+    def _part(self, here: np.ndarray):
+        mine = here[self.rows]
+        return (np.cumsum(here) - 1)[self.rows[mine]], self.at[mine], self.weights[mine], mine
+
+    def projected(self, here: np.ndarray, dim: int, draws, prime: int) -> np.ndarray:
+        """The rows marked ``here`` under one random projection, as a dense matrix."""
+        rows, at, weights, _ = self._part(here)
+        weights = weights / np.sqrt(len(draws))
+        out = np.zeros((int(here.sum()), dim))
+        base = rows * dim
+        step = max(1, PAIR_CHUNK // max(1, len(at)))
+        for i in range(0, len(draws), step):
+            a, b, c, d, e, f = (np.array(v)[:, None] for v in zip(*draws[i : i + step]))
+            slot = (a * self.high + e * self.low + b) % prime % dim
+            sign = 1.0 - 2.0 * (((c * self.low + f * self.high + d) % prime) & 1)
+            out += np.bincount(
+                (base + slot[:, at]).ravel(), (sign[:, at] * weights).ravel(), minlength=out.size
+            ).reshape(out.shape)
+        return out
+
+    def raw(self, here: np.ndarray) -> pa.Table:
+        """The marked rows without projection; a code stands for its term."""
+        rows, _, weights, mine = self._part(here)
+        offsets = pa.array(np.searchsorted(rows, np.arange(int(here.sum()) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (self.codes[mine], weights)]
+        return pa.table(lists, ["terms", "weights"])
 
 
 def products(left: pa.Table, right: pa.Table):
@@ -222,20 +244,16 @@ def best_per_row(dist, k):
 def _best_per_split(dist, test_in, train_in, k):
     """Index arrays (split code, query, training row) of the k best rows of
     every query in every split that tests it."""
-    s_idx, q_idx, t_idx = [], [], []
-    for q in np.flatnonzero(test_in.any(axis=0)):
-        folds = np.flatnonzero(test_in[:, q])
-        order = np.argsort(dist[q], kind="stable")
-        member = train_in[np.ix_(folds, order)]
-        chosen = member & (np.cumsum(member, axis=1) <= k)
-        f, pos = np.nonzero(chosen)
-        t_idx.append(order[pos])
-        s_idx.append(folds[f])
-        q_idx.append(np.full(len(f), q))
-    if not q_idx:
+    found = []
+    for code, (tested, trained) in enumerate(zip(test_in, train_in)):
+        queries, rows = np.flatnonzero(tested), np.flatnonzero(trained)
+        if len(queries) and len(rows):
+            q, t = best_per_row(dist[np.ix_(queries, rows)], k)
+            found.append((np.full(len(q), code), queries[q], rows[t]))
+    if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    return np.concatenate(s_idx), np.concatenate(q_idx), np.concatenate(t_idx)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _rows(left, right, schema, by, q_idx, t_idx, dist, numbers):
@@ -277,14 +295,15 @@ def nearest_in_block(left, right, *, k, metric, by, with_splits, exclude_self, s
 
 
 def nearest_under_projections(
-    left, right, *, k, metric, by, settings, draws, prime, stride, schema
+    left, right, *, k, metrics, by, settings, parts, draws, prime, schema
 ):
     """As above for coded rows under several random projections.
 
-    Row columns ``dims`` and ``n_draws`` give the size of each projection in
-    this group, ``settings[i]`` the draws to use for the i-th.  With ``stride``
-    0 every projection serves all splits; otherwise projection i serves the
-    splits from ``i * stride`` on, ``stride`` of them.
+    Row columns ``dims`` and ``n_draws`` give sizes of projections in this group.
+    A setting ``(place, key, first, count)`` takes the size at ``place`` (-1: raw
+    counts) and the draws of ``key``, and serves the splits ``first`` and on, ``count``
+    of them (0: all).  Of several parts, this one does every ``parts``-th setting.
+    Every metric comes from the same products.
     """
     if left.num_rows == 0 or right.num_rows == 0:
         return pa.Table.from_pylist([], schema=schema)
@@ -292,32 +311,38 @@ def nearest_under_projections(
     dims, counts = _column(left, "dims")[0].as_py(), _column(left, "n_draws")[0].as_py()
     listed = np.unique(_flat(left, "splits"))
     in_test, in_train = _membership(left, listed), _membership(right, listed)
+    coded = _Coded(left), _Coded(right)
+    part = _column(left, "_part")[0].as_py() if parts > 1 else 0
     found = []
-    for i, key in enumerate(settings):
-        mine = np.ones(len(listed), bool) if stride == 0 else listed // stride == i
-        used, test_in, train_in = listed[mine], in_test[mine], in_train[mine]
-        q_here = np.flatnonzero(test_in.any(axis=0))
-        t_here = np.flatnonzero(train_in.any(axis=0))
-        if len(q_here) == 0 or len(t_here) == 0:
+    for i in range(part, len(settings), parts):
+        place, key, first, count = settings[i]
+        mine = (listed >= first) & (listed < first + count) if count else np.ones(len(listed), bool)
+        test_in, train_in = in_test[mine], in_train[mine]
+        here = test_in.any(axis=0), train_in.any(axis=0)
+        if not (here[0].any() and here[1].any()):
             continue
-        sides = [
-            _projected(side.take(pa.array(here)), dims[i], draws[key][: counts[i]], prime)
-            for side, here in ((left, q_here), (right, t_here))
-        ]
-        dist = distances(*_matrix_products(*sides), metric)
-        s_idx, q_idx, t_idx = _best_per_split(
-            dist, test_in[:, q_here], train_in[:, t_here], k
-        )
-        numbers = {
-            "setting": np.full(len(s_idx), i, dtype=np.int64),
-            "split": used[s_idx],
-        }
-        found.append(
-            _rows(
-                left, right, schema, by,
-                q_here[q_idx], t_here[t_idx], dist[q_idx, t_idx], numbers,
+        if place < 0:
+            found_products = _sparse_products(*(side.raw(h) for side, h in zip(coded, here)))
+        else:
+            drawn = draws[key][: counts[place]]
+            found_products = _matrix_products(
+                *(side.projected(h, dims[place], drawn, prime) for side, h in zip(coded, here))
+            )
+        q_here, t_here = (np.flatnonzero(h) for h in here)
+        for number, metric in enumerate(metrics):
+            dist = distances(*found_products, metric)
+            s_idx, q_idx, t_idx = _best_per_split(dist, test_in[:, q_here], train_in[:, t_here], k)
+            numbers = {
+                "metric": np.full(len(s_idx), number, dtype=np.int64),
+                "setting": np.full(len(s_idx), i, dtype=np.int64),
+                "split": listed[mine][s_idx],
+            }
+            found.append(
+                _rows(
+                    left, right, schema, by,
+                    q_here[q_idx], t_here[t_idx], dist[q_idx, t_idx], numbers,
+                )
             )
-        )
     return pa.concat_tables(found) if found else pa.Table.from_pylist([], schema=schema)
 
 

@@ -15,7 +15,8 @@ are never emitted and no side has to fit into one executor.
 
 Where a group has many blocks, pairs of blocks are pruned first
 (:mod:`.pivot_index`): blocks are cut by nearness, and a query meets only blocks
-that may hold one of its k nearest rows.
+that may hold one of its k nearest rows.  For texts an inverted index of the
+blocks (:mod:`.term_index`) gives tighter bounds.
 
 Cross-validation is answered by *one* pass: a row carries the list of splits in
 which it is a query (or a training row), the distances of a block pair are
@@ -35,8 +36,10 @@ from ..sources.materialize import materialize
 from ._block_kernel import nearest_in_block, nearest_under_projections
 from .pivot_index import PivotIndex
 from .projection import PRIME, draw_functions
+from .term_index import TermIndex
 
 METRICS = ("cosine", "euclidean")
+INDEXES = ("blocks", "pivots", "terms")
 MAX_BLOCK_ROWS = 4096  # bounds the distance matrix one task holds
 MAX_BLOCK_VALUES = 8_000_000  # bounds the vectors one task holds
 MIN_BLOCK_ROWS = 128  # smaller blocks only add overhead
@@ -44,6 +47,9 @@ MIN_BLOCK_ROWS = 128  # smaller blocks only add overhead
 # lists to merge, query blocks do not, so parallelism comes from the latter.
 QUERY_SPREAD = 8
 TRAIN_SPREAD = 2
+# Parts that many settings of a sweep are dealt to; each projects a row once for
+# each of its settings, where more blocks would repeat that.
+SETTING_PARTS = 8
 # Training rows of a group from which blocks are pruned; with fewer there are so
 # few blocks that building the index costs more than it saves.
 PRUNE_FROM = 4 * MAX_BLOCK_ROWS
@@ -81,7 +87,7 @@ def knn_join(
     by: list[str] | None = None,
     with_splits: bool = False,
     exclude_self: bool = False,
-    prune: bool | None = None,
+    index: str | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
     """``(*by, [split,] query_id, [query_label,] train_id, [label,] distance,
@@ -92,25 +98,31 @@ def knn_join(
     the row is a query, respectively a training row.  Fewer than k training
     rows give fewer neighbours.  Order and ties are ``(distance, train_id)``.
 
-    ``prune`` says whether to build a pivot index, with about ``block_rows``
-    rows in a block; by default it is built where a group has ``PRUNE_FROM``
-    training rows.  With splits no index is used.  Both ways are exact.
+    ``index`` is "blocks" (none), "pivots" or "terms" (cosine of sparse rows
+    without negative weights), the last two with about ``block_rows`` rows in a
+    block.  By default pivots are used where a group has ``PRUNE_FROM`` training
+    rows, and nothing with splits.  All ways are exact.
 
     Each input is scanned twice (sizes, then rows): hand in materialized
     tables rather than long plans.
     """
     _validated(k, metric)
+    if index not in (None, *INDEXES):
+        raise ValueError(f"index must be one of {INDEXES}, not {index!r}")
     by = list(by or [])
     vector = vector_columns(queries)
     extra = ["splits"] if with_splits else []
     q_label = ["label"] if "label" in queries.columns else []
     t_label = ["label"] if "label" in train.columns else []
     size = F.size(vector[0])
-    if prune is None:
-        prune = not with_splits and _largest_group(train, by) >= PRUNE_FROM
-    if prune:
-        labels = (q_label, t_label)
-        return _pruned(queries, train, k, metric, by, vector, labels, exclude_self, block_rows)
+    if index is None:
+        pivots = not with_splits and _largest_group(train, by) >= PRUNE_FROM
+        index = "pivots" if pivots else "blocks"
+    if index != "blocks":
+        if with_splits or (index == "terms" and (metric != "cosine" or vector[0] != "terms")):
+            raise ValueError(f"index {index!r} does not serve this join")
+        sides = (queries, q_label), (train, t_label)
+        return _indexed(*sides, k, metric, by, vector, exclude_self, index, block_rows)
     pairs = _Pairs(queries, train, by, size, [*vector, *extra], q_label, t_label)
 
     schema = _result_schema(queries, train, by, ["split"] if with_splits else [])
@@ -134,15 +146,20 @@ def _largest_group(train: DataFrame, by: list[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
-def _pruned(queries, train, k, metric, by, vector, labels, exclude_self, block_rows) -> DataFrame:
-    keys, (q_label, t_label) = by or ["_all"], labels
-    if not by:
-        queries, train = (side.withColumn("_all", F.lit(0)) for side in (queries, train))
-    queries = queries.select(*keys, "id", *q_label, *vector)
-    train = train.select(*keys, "id", *t_label, *vector)
-    index = PivotIndex(train, vector, metric, keys, block_rows)
+def _indexed(left, right, k, metric, by, vector, exclude_self, index, block_rows) -> DataFrame:
+    keys = by or ["_all"]
+
+    def side(table: DataFrame, label: list[str]) -> DataFrame:
+        table = table if by else table.withColumn("_all", F.lit(0))
+        return table.select(*keys, "id", *label, *vector)
+
+    queries, train = side(*left), side(*right)
+    if index == "terms":
+        built = TermIndex(train, keys, block_rows)
+    else:
+        built = PivotIndex(train, vector, metric, keys, block_rows)
     schema = _result_schema(queries, train, keys, [])
-    found = top_k(index.search(queries, k, schema, exclude_self), k, keys)
+    found = top_k(built.search(queries, k, schema, exclude_self), k, keys)
     return found if by else found.drop("_all")
 
 
@@ -150,46 +167,59 @@ def projected_knn_join(
     rows: DataFrame,
     k: int,
     *,
-    seed: int,
-    settings: list[int],
-    max_draws: int,
-    metric: str = "cosine",
+    settings: list[tuple[int, tuple[int, int], int, int]],
+    max_draws: list[int],
+    metrics: list[str],
     by: list[str] | None = None,
-    stride: int = 0,
 ) -> DataFrame:
-    """Neighbours over splits under several random projections, in one pass:
-    ``(*by, setting, split, query_id, query_label, train_id, label, distance,
-    rank)``.
+    """Neighbours over splits under several random projections and metrics, in one
+    pass: ``(*by, metric, setting, split, query_id, query_label, train_id, label,
+    distance, rank)``; ``metric`` and ``setting`` are positions in their lists.
 
     ``rows`` is ``(*by, id, label, codes, weights, dims, n_draws, test_in,
-    train_in)``: coded sparse vectors, the size of each projection, and the
-    splits that test or train on the row.  Only these rows move; they are
-    projected where their blocks meet, once per setting, so thirty projections
-    cost no more shuffling than one.  See the kernel for ``stride``.
+    train_in)``: coded sparse vectors, the sizes of projections, and the splits that
+    test or train on the row.  A setting ``(place, (seed, key), first, count)`` uses
+    the size at ``place`` of ``dims`` (-1: no projection) and the draws of ``key``,
+    for ``count`` splits from ``first`` on (0: all).  ``max_draws`` holds the most
+    draws of each place.
+
+    Only these rows move, to at most ``SETTING_PARTS`` parts of the settings; they
+    are projected where their blocks meet, so hundreds of projections cost no more
+    shuffling than one.
     """
-    _validated(k, metric)
+    for metric in metrics:
+        _validated(k, metric)
     by = list(by or [])
 
     def side(column: str) -> DataFrame:
         return rows.withColumn("splits", F.col(column)).where(F.size("splits") > 0)
 
+    parts = min(SETTING_PARTS, len(settings))
     queries, train = side("test_in"), side("train_in")
-    size = F.greatest(F.size("codes"), F.array_max("dims"))
     carried = ["codes", "weights", "dims", "n_draws", "splits"]
-    pairs = _Pairs(queries, train, by, size, carried, ["label"], ["label"])
-    schema = _result_schema(queries, train, by, ["setting", "split"])
+    # Projected values at a time: where each setting serves one split, a side holds
+    # the share of its rows that this split takes.
+    alone = all(count == 1 or place < 0 for place, _, _, count in settings)
+    share = F.size("splits") / (F.size("test_in") + F.size("train_in")) if alone else F.lit(1.0)
+    size = F.greatest(F.size("codes"), F.ceil(F.array_max("dims") * share))
+    pairs = _Pairs(queries, train, by, size, carried, ["label"], ["label"], parts)
+    schema = _result_schema(queries, train, by, ["metric", "setting", "split"])
+    needed = {}
+    for place, key, _, _ in settings:
+        if place >= 0:
+            needed[key] = max(needed.get(key, 0), max_draws[place])
     kernel = partial(
         nearest_under_projections,
         k=k,
-        metric=metric,
+        metrics=metrics,
         by=by,
         settings=settings,
-        draws={key: draw_functions(seed, key, max_draws) for key in set(settings)},
+        parts=parts,
+        draws={key: draw_functions(*key, count) for key, count in needed.items()},
         prime=PRIME,
-        stride=stride,
         schema=to_arrow_schema(schema),
     )
-    return top_k(pairs.run(kernel, schema), k, [*by, "setting", "split"])
+    return top_k(pairs.run(kernel, schema), k, [*by, "metric", "setting", "split"])
 
 
 def vector_columns(table: DataFrame) -> list[str]:
@@ -216,11 +246,13 @@ def _result_schema(queries, train, by: list[str], numbers: list[str]) -> T.Struc
 class _Pairs:
     """Both sides cut into blocks and brought together block by block."""
 
-    def __init__(self, queries, train, by, size, carried, q_label, t_label):
+    def __init__(self, queries, train, by, size, carried, q_label, t_label, parts=1):
         def n_blocks(spread: int) -> Column:
             return block_count(F.count(F.lit(1)), F.sum(size), spread)
 
-        n_q, n_t = n_blocks(QUERY_SPREAD), n_blocks(TRAIN_SPREAD)
+        # Parts of the work give the parallelism that blocks need not give then.
+        n_q = n_blocks(max(1, QUERY_SPREAD // parts))
+        n_t = n_blocks(TRAIN_SPREAD if parts == 1 else 1)
         if by:
             # One row per group.  Written out so that its true size decides
             # whether the joins below broadcast it.
@@ -241,6 +273,10 @@ class _Pairs:
             return side.withColumns({own: salt, other: F.explode(partners)})
 
         self.key = [*by, "_qb", "_tb"]
+        if parts > 1:
+            self.key.append("_part")
+            part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+            queries, train = queries.withColumn("_part", part), train.withColumn("_part", part)
         q = cut(queries, "_qb", "_tb", "_nq", "_nt")
         t = cut(train, "_tb", "_qb", "_nt", "_nq")
         self.q = q.select(*self.key, "id", *q_label, *carried)

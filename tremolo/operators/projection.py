@@ -1,7 +1,7 @@
 """Sparse random projection.
 
 Every term has a 60-bit code, its hash.  A *draw* is a pair of linear functions
-of the code's two halves modulo a prime: one picks the term's slot, the other
+of both halves of the code modulo a prime: one picks the term's slot, the other
 its sign.  A term makes ``m = max(1, round(dim / sqrt(features)))`` draws of
 weight ``1 / sqrt(m)``: the non-zeros per term that a matrix of density
 ``1 / sqrt(features)`` has on average (there the number varies by term).
@@ -65,14 +65,16 @@ def n_draws(dim: int, n_features: int) -> int:
     return max(1, math.floor(dim / math.sqrt(n_features) + 0.5))
 
 
-def draw_functions(seed: int, key: int, count: int) -> list[tuple[int, int, int, int]]:
-    """``count`` draws ``(a, b, c, d)`` of the projection named ``key``: slot
-    ``(a·high + b) mod PRIME mod dim`` and sign ``(c·low + d) mod PRIME mod 2``."""
+def draw_functions(seed: int, key: int, count: int) -> list[tuple[int, ...]]:
+    """``count`` draws ``(a, b, c, d, e, f)`` of the projection named ``key``: slot
+    ``(a·high + e·low + b) mod PRIME mod dim`` and sign ``(c·low + f·high + d) mod
+    PRIME mod 2``.  Any two codes meet in a slot about once in ``dim`` draws."""
     out = []
     for i in range(count):
-        h = hashlib.md5(f"{seed}|{key}|{i}".encode()).hexdigest()
-        a, b, c, d = (int(h[j : j + 8], 16) for j in range(0, 32, 8))
-        out.append((a % (PRIME - 1) + 1, b % PRIME, c % (PRIME - 1) + 1, d % PRIME))
+        h = hashlib.sha256(f"{seed}|{key}|{i}".encode()).hexdigest()
+        a, b, c, d, e, f = (int(h[j : j + 8], 16) for j in range(0, 48, 8))
+        out.append((a % (PRIME - 1) + 1, b % PRIME, c % (PRIME - 1) + 1, d % PRIME,
+                    e % (PRIME - 1) + 1, f % (PRIME - 1) + 1))
     return out
 
 
@@ -96,18 +98,21 @@ def project_vectors(
     m = n_draws(dim, n_features)
     draws = F.array(
         *[
-            F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("abcd", f)])
+            F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("abcdef", f)])
             for f in draw_functions(seed, key, m)
         ]
     )
 
+    def halves(code: Column) -> tuple[Column, Column]:
+        return F.shiftright(code, 30), code.bitwiseAND(F.lit(HALF - 1))
+
     def slot(f: Column, code: Column) -> Column:
-        high = F.shiftright(code, 30)
-        return ((f["a"] * high + f["b"]) % PRIME % dim).cast("int")
+        high, low = halves(code)
+        return ((f["a"] * high + f["e"] * low + f["b"]) % PRIME % dim).cast("int")
 
     def signed(f: Column, code: Column, w: Column) -> Column:
-        low = code.bitwiseAND(F.lit(HALF - 1))
-        odd = (f["c"] * low + f["d"]) % PRIME % 2 == 1
+        high, low = halves(code)
+        odd = (f["c"] * low + f["f"] * high + f["d"]) % PRIME % 2 == 1
         return F.when(odd, -w).otherwise(w) * F.lit(1.0 / math.sqrt(m))
 
     rows = with_codes(vectors).withColumn("_draws", draws)

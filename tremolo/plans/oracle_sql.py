@@ -85,19 +85,24 @@ CODE = "('0x' || substr(md5(term), 1, 15))::BIGINT"
 
 
 def functions(seed: int, projections: int, most: str) -> str:
-    """``fun (split, i, a, b, c, d)``: the draws of each projection."""
+    """``fun (split, i, a, b, c, d, e, f)``: the draws of each projection."""
 
     def part(start: int, extra: str) -> str:
         return f"('0x' || substr(h, {start}, 8))::BIGINT % {extra}"
 
-    return f"""fun AS (SELECT split, i, {part(1, '2147483646 + 1')} AS a,
-  {part(9, PRIME)} AS b, {part(17, '2147483646 + 1')} AS c, {part(25, PRIME)} AS d
-  FROM (SELECT split, i, md5(concat_ws('|', {seed}, split, i)) AS h
+    factor = "2147483646 + 1"
+    return f"""fun AS (SELECT split, i, {part(1, factor)} AS a,
+  {part(9, PRIME)} AS b, {part(17, factor)} AS c, {part(25, PRIME)} AS d,
+  {part(33, factor)} AS e, {part(41, factor)} AS f
+  FROM (SELECT split, i, sha256(concat_ws('|', {seed}, split, i)) AS h
   FROM range({projections}) r(split), (SELECT unnest(range({most})) AS i)))"""
 
 
-SLOT = f"((a * (x // 1073741824) + b) % {PRIME}) % dim"
-SIGNED = f"CASE WHEN ((c * (x % 1073741824) + d) % {PRIME}) % 2 = 1 THEN -tf ELSE tf END"
+SLOT = f"((a * (x // 1073741824) + e * (x % 1073741824) + b) % {PRIME}) % dim"
+SIGNED = (
+    f"CASE WHEN ((c * (x % 1073741824) + f * (x // 1073741824) + d) % {PRIME}) % 2 = 1 "
+    "THEN -tf ELSE tf END"
+)
 
 
 def projected(eps: list[float], seed: int, refit: int = 0) -> str:

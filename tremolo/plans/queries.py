@@ -1040,6 +1040,17 @@ def k1_k3_cosine_counts(spark, sf):
     return near_summary(nearest_of_held_out(vectors, 7, "cosine"))
 
 
+@query("k1_term_index", o.sql(fixed_near("cosine", 7, WHOLE_POOL), NEAR))
+def k1_term_index(spark, sf):
+    """The same through an inverted index over blocks of 128 rows."""
+    vectors = materialize(base.count_vectors(whole(spark, sf)), "vectors")
+    return near_summary(
+        neighbors.knn_join(
+            vectors.where(held_out()), vectors.where(~held_out()), 7, index="terms", block_rows=128
+        )
+    )
+
+
 @query("k2_k3_euclidean_counts", o.sql(fixed_near("euclidean", 7, WHOLE_POOL), NEAR))
 def k2_k3_euclidean_counts(spark, sf):
     vectors = materialize(base.count_vectors(whole(spark, sf)), "vectors")
@@ -1071,9 +1082,7 @@ def k3_benchmark_items(spark, sf):
     return near_summary(neighbors.knn_join(queries, train, 3))
 
 
-@query(
-    "k3_tfidf_cosine",
-    o.sql(
+K3_TFIDF = o.sql(
         [
             WHOLE_POOL, o.counts(), IDF.format(counts="counts"), TFIDF.format(counts="counts"),
             "dots AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM tfidf x "
@@ -1086,16 +1095,28 @@ def k3_benchmark_items(spark, sf):
             o.ranked("1", 7).replace("PARTITION BY 1, ", "PARTITION BY "),
         ],
         NEAR,
-    ),
-)
-def k3_tfidf_cosine(spark, sf):
+    )
+
+
+def tfidf_rows(spark, sf) -> DataFrame:
     docs = whole(spark, sf, pooled=True)
     counts = materialize(postings.term_counts(docs, ["id"]), "counts")
     idf = postings.smoothed_idf(counts, docs.count())
-    vectors = materialize(postings.tfidf_vectors(counts, idf, ["id"]), "vectors")
-    return near_summary(
-        neighbors.knn_join(vectors.where(held_out()), vectors.where(~held_out()), 7)
+    return materialize(postings.tfidf_vectors(counts, idf, ["id"]), "vectors")
+
+
+@query("k3_tfidf_cosine", K3_TFIDF)
+def k3_tfidf_cosine(spark, sf):
+    return near_summary(nearest_of_held_out(tfidf_rows(spark, sf), 7, "cosine"))
+
+
+@query("k3_term_index_tfidf", K3_TFIDF)
+def k3_term_index_tfidf(spark, sf):
+    vectors = tfidf_rows(spark, sf)
+    near = neighbors.knn_join(
+        vectors.where(held_out()), vectors.where(~held_out()), 7, index="terms", block_rows=256
     )
+    return near_summary(near)
 
 
 def dense_near(metric: str, k: int, where: str) -> list[str]:
@@ -1134,7 +1155,7 @@ def k2_pivot_index(spark, sf):
     vectors = embeddings(spark, sf).select("id", "vec")
     return near_summary(
         neighbors.knn_join(
-            vectors, vectors, 5, metric="euclidean", exclude_self=True, prune=True, block_rows=64
+            vectors, vectors, 5, metric="euclidean", exclude_self=True, index="pivots", block_rows=64
         )
     )
 
@@ -1157,7 +1178,7 @@ def k3_pivot_index_projects(spark, sf):
     """Texts inside their project, through an index of each project."""
     vectors = materialize(base.count_vectors(whole(spark, sf), ["project", "id"]), "vectors")
     near = neighbors.knn_join(
-        vectors.where(held_out()), vectors.where(~held_out()), 7, by=["project"], prune=True, block_rows=64
+        vectors.where(held_out()), vectors.where(~held_out()), 7, by=["project"], index="pivots", block_rows=64
     )
     return near_summary(near, "project")
 
