@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,81 @@ def test_comparison_and_sweeps(projects):
     assert {(r.distance, r.k) for r in metric} == {
         (m, k) for m in ("cosine", "euclidean") for k in (3, 7)
     }
+
+
+def test_fit_counts_nan_as_missing_and_needs_terms(spark, texts):
+    """One NaN in a metadata column drops it, as a gap does; at prediction NaN is the
+    training mean."""
+    nan = float("nan")
+    data = texts.withColumns(
+        {
+            "test_age_days": F.col("id") * 1.0,
+            "file_change_count": F.when(F.col("id") == 20, F.lit(nan)).otherwise(F.col("id") * 2.0),
+        }
+    )
+    columns = ["test_age_days", "file_change_count"]
+    train = data.where("id >= 10")
+    model = tremolo.NeighborVoteClassifier(metadataCols=columns, k=3).fit(train)
+    assert model.fitted.metadata == ["test_age_days"]
+    new = data.where("id < 10")
+    absent = model.transform(new.withColumn("test_age_days", F.lit(nan)))
+    mean = model.transform(new.withColumn("test_age_days", F.lit(34.5)))
+    got, want = ({r.id: (r.score, r.confidence) for r in x.collect()} for x in (absent, mean))
+    assert got == want
+    with pytest.raises(ValueError, match="vocabulary"):
+        tremolo.NeighborVoteClassifier().fit(texts.withColumn("text", F.lit("a ! b")))
+    with pytest.raises(ValueError, match="no rows"):
+        tremolo.NeighborVoteClassifier().fit(texts.where("id < 0"))
+
+
+def shown(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_need_no_exchange_and_vectors_one_by_id(texts, monkeypatch):
+    from tremolo.plans import estimator
+
+    model = tremolo.NeighborVoteClassifier(k=3, eps=0.0)
+    docs = estimator._selected(model, texts, with_label=True)
+    assert "Exchange" not in shown(estimator._features(model, model.rules, docs))
+    fitted = model.fit(texts)
+    by_id = shown(fitted.vectors_of(texts)).count("Exchange hashpartitioning(id#")
+    assert by_id == 1
+    # The input is read once: every other step reads the written features.
+    read = []
+    whole = estimator._features
+    monkeypatch.setattr(estimator, "_features", lambda *args: read.append(1) or whole(*args))
+    model.fit(texts)
+    assert len(read) == 1
+
+
+def test_sweeps_are_one_join(texts, monkeypatch):
+    from tremolo.operators import neighbors
+
+    met = []
+    whole = neighbors._Pairs.run
+    monkeypatch.setattr(neighbors._Pairs, "run", lambda *args: met.append(1) or whole(*args))
+    docs = texts.withColumn("project", F.lit("all"))
+    sweeps = (
+        (experiments.sweep_eps, dict(eps=[0.0, 0.3, 0.6]), 3),
+        (experiments.sweep_metric, {}, 4),
+        (experiments.learning_curve, dict(test_sizes=[0.5, 0.2]), 4),
+    )
+    for sweep, settings, n_rows in sweeps:
+        met.clear()
+        assert sweep(docs, n_splits=2, **settings).count() == n_rows
+        assert len(met) == 1
+
+
+def test_all_bits_of_a_code_choose_slots():
+    """Codes that share their high (or their low) half fall into different slots."""
+    from tremolo.operators.projection import PRIME, draw_functions
+
+    draws = draw_functions(3, 0, 40)
+    rng = random.Random(1)
+    halves = rng.sample(range(1 << 30), 400)
+    for codes in ([(77 << 30) | i for i in halves], [(i << 30) | 77 for i in halves]):
+        for a, b, c, d, e, f in draws:
+            slots = {(a * (x >> 30) + e * (x & (2**30 - 1)) + b) % PRIME % 1000 for x in codes}
+            signs = [(c * (x & (2**30 - 1)) + f * (x >> 30) + d) % PRIME & 1 for x in codes]
+            assert len(slots) > 290 and 140 < sum(signs) < 260
