@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.materialize import materialize
 from ._common import parts, words
 
 #: The field's weights come from at most so many labelled texts of each class, the
@@ -326,26 +327,38 @@ def _known(labels: DataFrame, allowed) -> DataFrame:
     return known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
-    """The bounded training sample ``(doc_id, text, toxic)``: of the allowed labelled
-    rows of each class, the first ``MAX_TEXTS_PER_CLASS`` by hash of the id, one text
-    for each, the smallest where an id is repeated.  The ids are chosen from the
-    labels alone and meet the texts in a broadcast join of so many rows at most."""
-    known = _known(labels, allowed)
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(MAX_TEXTS_PER_CLASS) for c in (0, 1)]
-    sample = F.broadcast(chosen[0].union(chosen[1]))
-    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(sample, "doc_id")
-    return joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+def labelled_texts(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
+    """The different texts with an allowed label, ``(doc_id, digest, toxic, text)``, written
+    once.  Equal texts are one row, of the smallest id and clean if they have both labels.
 
-
-def marking_terms(docs: DataFrame, labels: DataFrame, allowed) -> set[bytes]:
-    """Terms that mark (``token_labels``) by their shares in all allowed labelled
-    texts.  Equal texts count once, as clean ones if they have both labels.  Counts
+    Which rows these are is settled on ids and digests, so texts are shuffled only for
+    the one join that selects them.
+    """
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    known = texts.select("doc_id", digest).join(_known(labels, allowed), "doc_id")
+    chosen = known.groupBy("digest").agg(F.min("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    chosen = materialize(chosen, "labelled-ids")
+    named = texts.select("doc_id", digest, "text").join(chosen, ["doc_id", "digest"])
+    # An id may be repeated with the same text; the join has brought such rows together.
+    named = named.dropDuplicates(["doc_id", "digest"])
+    return materialize(named.select("doc_id", "digest", "toxic", "text"), "labelled")
+
+
+def training_texts(texts: DataFrame) -> DataFrame:
+    """The bounded training sample ``(doc_id, text, toxic)``: of the labelled texts of each
+    class the first ``MAX_TEXTS_PER_CLASS`` by hash of the id.  The rows are chosen
+    without their texts, which they meet in a broadcast join of so many rows at most."""
+    order = [F.xxhash64("doc_id"), "doc_id", "digest"]
+    rows = texts.select("doc_id", "digest", "toxic")
+    chosen = [rows.where(F.col("toxic") == c).orderBy(*order).limit(MAX_TEXTS_PER_CLASS) for c in (0, 1)]
+    sample = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "digest"))
+    return texts.join(sample, ["doc_id", "digest"]).select("doc_id", "text", "toxic")
+
+
+def marking_terms(texts: DataFrame) -> set[bytes]:
+    """Terms that mark (``token_labels``) by their shares in all labelled texts.  Counts
     are added up in tasks first; only terms that mark come to the driver."""
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(_known(labels, allowed), "doc_id")
-    texts = texts.groupBy("text").agg(F.min("toxic").alias("toxic"))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
 
@@ -363,7 +376,7 @@ def marking_terms(docs: DataFrame, labels: DataFrame, allowed) -> set[bytes]:
         if seen:
             yield out()
 
-    total = texts.mapInArrow(count, "term binary, a long, b long").groupBy("term").agg(
+    total = texts.select("text", "toxic").mapInArrow(count, "term binary, a long, b long").groupBy("term").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b")
     )
     n = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
@@ -385,8 +398,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed) -> Model:
     """Marking terms from all allowed labelled texts, weights on the driver from the
     bounded sample; rows are put in id order first, so that the model does not
     depend on how they arrive."""
-    marking = marking_terms(docs, labels, allowed)
-    rows = training_texts(docs, labels, allowed).collect()
+    texts = labelled_texts(docs, labels, allowed)
+    marking = marking_terms(texts)
+    rows = training_texts(texts).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     return learn([r.text for r in rows], [r.toxic for r in rows], marking=marking)
 
