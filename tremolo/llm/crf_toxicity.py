@@ -48,8 +48,10 @@ _LOOKALIKES = bytes.maketrans(b"0134578@$!", b"oieastbasi")
 def stems(core: bytes) -> list[bytes]:
     """Beginnings of a word of three to eight letters, the word itself if it is
     shorter than eight; a letter of more bytes is never cut."""
+    if core.isascii():
+        return [core[:k] for k in range(3, min(len(core), 8) + 1)]
     text = core.decode("utf-8", "ignore")
-    return [text[:k].encode() for k in range(3, 9) if k <= len(text)]
+    return [text[:k].encode() for k in range(3, min(len(text), 8) + 1)]
 
 
 def _terms(word: bytes) -> list[bytes]:
@@ -62,9 +64,10 @@ def features(word: bytes, marking: frozenset[bytes] | set[bytes] = frozenset())
     core with look-alike digits and signs read as letters, the stems, the core's
     last three bytes, and one that all marking words share."""
     core = word.strip(_EDGE)
+    beginnings = stems(core)
     named = [b"w" + word, b"c" + core, b"l" + core.translate(_LOOKALIKES), b"e" + core[-3:]]
-    named += [b"s" + stem for stem in stems(core)]
-    if not marking.isdisjoint(_terms(word)):
+    named += [b"s" + stem for stem in beginnings]
+    if core in marking or not marking.isdisjoint(beginnings):
         named.append(b"m")
     return named + [b""] * (_FEATURES - len(named))
 
