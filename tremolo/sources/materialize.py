@@ -30,9 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL_FOLDERS.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="tremolo-")
-    )
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tremolo-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
