@@ -9,13 +9,15 @@ is compatible with the last piece of the prefix before it is stored.  Ids are
 read back from the end.  Cost is linear in the text.
 
 Merges never cross a word's first space, as no piece holds a space after another
-character, so words are encoded on their own and remembered.
+character, so words are encoded on their own and remembered: a full table of words becomes the
+older one, and the words met again move on to the new one.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from ._common import parts
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 250_000
 _LONGEST_KEPT = 64
-_PAIRS_KEPT = 400_000
+_PAIRS_KEPT = 800_000
 
 
 class PiecePrefixEncoder:
@@ -50,6 +52,8 @@ class PiecePrefixEncoder:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         self.text_of = [p.replace(SPACE, " ") for p in self.pieces]
+        self.plain = {i: self.text_of[i] for i in self.ids.values()}
+        self.lengths = [len(p) for p in self.pieces]
         self.letters = {p for p in self.ids if len(p) == 1}
         runs = [p for p in self.ids if len(p) > 1 and not p.strip(SPACE)]
         least = min(self.scores[p] for p in self.ids if p.strip(SPACE) and len(p) > 1)
@@ -61,13 +65,13 @@ class PiecePrefixEncoder:
             raise ValueError("runs of spaces must merge last in this model")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            if len(p) == 1 or p.strip(SPACE):
+            if len(p) == 1 or (p.strip(SPACE) and self.merged(p) == [p]):
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._alone: dict[int, bool] = {}
         self._runs: dict[int, list[int]] = {}
         self._words: dict[str, tuple[bytes, str]] = {}
+        self._older: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by the defining rule: again and again, the neighbours with the
@@ -97,12 +101,6 @@ class PiecePrefixEncoder:
             offer(i)
         return [p for p in parts_ if p is not None]
 
-    def _itself(self, piece: int) -> bool:
-        known = self._alone.get(piece)
-        if known is None:
-            known = self._alone[piece] = self.merged(self.pieces[piece]) == [self.pieces[piece]]
-        return known
-
     def _compatible(self, left: int, right: int) -> bool:
         key = left * len(self.pieces) + right
         known = self._pairs.get(key)
@@ -115,26 +113,34 @@ class PiecePrefixEncoder:
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
-        last = [0] * (len(text) + 1)  # of each prefix
-        reach = [True] + [False] * len(text)
-        for end, (piece, size) in self.automaton.iter(text):
+        # Last piece of each prefix, -1 where none is found; pieces that do not
+        # encode to themselves are not in the automaton.
+        last = [-1] * (len(text) + 1)
+        pairs, size = self._pairs, len(self.pieces)
+        for end, (piece, length) in self.automaton.iter(text):
             end += 1
-            if reach[end]:
+            if last[end] >= 0:
                 continue  # the unique piece is found
-            start = end - size
-            if reach[start] and self._itself(piece) and (
-                start == 0 or self._compatible(last[start], piece)
-            ):
-                last[end], reach[end] = piece, True
-        ids, at = [], len(text)
+            if start := end - length:
+                left = last[start]
+                if left < 0:
+                    continue
+                fits = pairs.get(left * size + piece)
+                if not (self._compatible(left, piece) if fits is None else fits):
+                    continue
+            last[end] = piece
+        ids, at, lengths = [], len(text), self.lengths
         while at:
-            ids.append(last[at])
-            at -= len(self.pieces[last[at]])
+            piece = last[at]
+            ids.append(piece)
+            at -= lengths[piece]
         return ids[::-1]
 
     def _word(self, word: str) -> list[int]:
         """Ids of one space and a word, or of a word; unknown characters bar
         merges and become bytes."""
+        if self.letters.issuperset(word):
+            return self._known(word)
         ids: list[int] = []
         start = 0
         for at, letter in enumerate(word):
@@ -186,18 +192,23 @@ class PiecePrefixEncoder:
             text = text[1:]
         return text
 
-    def _remembered(self, chunk: str) -> tuple[bytes, str]:
-        known = self._words.get(chunk)
-        if known is None:
-            ids = self._chunk(chunk)
-            # ``decode`` takes off the first space, which is the text's own here.
+    def _coded(self, chunk: str) -> tuple[bytes, str]:
+        ids = self._chunk(chunk)
+        try:
+            text = "".join([self.plain[i] for i in ids])
+        except KeyError:  # bytes; ``decode`` takes off the first space, the text's own here
             text = self.decode([self.eos, *ids])
             if self.pieces[ids[0]].startswith(SPACE):
                 text = " " + text
-            known = (np.array(ids, np.int32).tobytes(), text)
+        return array("i", ids).tobytes(), text
+
+    def _remembered(self, chunk: str) -> tuple[bytes, str]:
+        known = self._words.get(chunk)
+        if known is None:
+            known = self._older.get(chunk) or self._coded(chunk)
             if len(chunk) <= _LONGEST_KEPT:
                 if len(self._words) >= _WORDS_KEPT:
-                    self._words.clear()
+                    self._older, self._words = self._words, {}
                 self._words[chunk] = known
         return known
 
@@ -207,7 +218,8 @@ class PiecePrefixEncoder:
         if not text:
             return b"", ""
         whole = SPACE + text.replace(" ", SPACE)
-        found = [self._remembered(c) for c in _CHUNK.findall(whole)]
+        get = self._words.get
+        found = [get(c) or self._remembered(c) for c in _CHUNK.findall(whole)]
         return b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
 
     def encode(self, text: str | None) -> list[int]:
