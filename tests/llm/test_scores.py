@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
+import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremolo.llm import crf_toxicity, decontaminate, language_mix, licenses
+from tremolo.llm import crf_toxicity, decontaminate, language_mix, licenses, queries
 from tremolo.llm._common import WordHashes
 
 SF = "/root/testdata/sf0.01"
@@ -222,13 +225,52 @@ def test_licenses(spark):
         licenses.known_digests(spark, [("a", "b")] * 6_000)
 
 
-def test_whole_license_texts(spark):
-    """Whole texts of every family, wrapped and dated anew."""
-    whole = dict(licenses.whole_texts())
-    names = [
-        "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0",
-        "BSD-2-Clause", "BSD-3-Clause", "Unlicense",
-    ]
-    texts = ["Copyright (c) 2021 A. Person\n" + whole[n].upper().replace("  ", " ") for n in names]
+def _wrapped(text, width):
+    """All paragraphs at one width; at width 0 the whole text is one line."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text.strip())]
+    return "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in paragraphs) if width else " ".join(paragraphs)
+
+
+@pytest.mark.parametrize("width", [0, 40, 50, 72, 79, 100, 10**6])
+def test_whole_license_texts(spark, width):
+    """Whole texts of every licence at every width, in capitals, with another owner."""
+    known = [*licenses.whole_texts(), *((n, t) for n, t in licenses.KNOWN if len(t) > 300)]
+    texts = ["Copyright (c) 2021 A. Person\nand others\n\n" + _wrapped(t, width) for _, t in known]
+    texts += [_wrapped(t, width).upper() + "\r\n" for _, t in known]
     got = {r.doc_id: r.license for r in licenses.scan(frame(spark, texts)).collect()}
-    assert [got[i] for i in range(len(names))] == names
+    names = [n for n, _ in known]
+    assert [got[i] for i in range(len(texts))] == names + names
+
+
+def test_license_titles_and_statements(spark):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 100)
+    isc = next(t for n, t in licenses.KNOWN if n == "ISC" and len(t) > 100)
+    whole = dict(licenses.whole_texts())
+    bsd = whole["BSD-2-Clause"].split("\n", 1)[1]
+    wanted = {
+        f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{_wrapped(mit, 50)}": "MIT",
+        f"The MIT License (MIT)\n\nCopyright © A. Person <a@b.c>\n\n{mit}": "MIT",
+        f"MIT Licence Copyright 2020-2024, A. Person and others. All rights reserved. {mit}": "MIT",
+        f"ISC License\n\nCopyright (c) 2004-2010 by A. Person\n\n{_wrapped(isc, 60)}": "ISC",
+        f"BSD 2-Clause License\n\n(c) 2020, A. Person\nAll rights reserved.\n{_wrapped(bsd, 72)}": "BSD-2-Clause",
+        f"The Unlicense\n\n{whole['Unlicense']}": "Unlicense",
+        f"{mit}\n\nNo use on Sundays.": None,
+        mit.replace("without restriction", "with restriction"): None,
+        "MIT License": None,
+        "Copyright notices are kept. Licensed under CC BY-NC 4.0.": None,
+        "Copyright 2020 A. Person. Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    }
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, list(wanted))).collect()}
+    assert [got[i] for i in range(len(wanted))] == list(wanted.values())
+
+
+def test_license_twin(spark):
+    """The twin finds whole texts too, at other widths than those of the files."""
+    texts = [_wrapped(t, 61) for _, t in licenses.whole_texts()]
+    texts += ["© 2020 me", None, "", "a\x0bb\u2028Copyright (c) x\u2029y", "(c) 1999 z\r\n\r\n\tMIT\r\nlicence text"]
+    docs = frame(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(queries.OP3_SQL).fetchall()
+    got = licenses.scan(docs).withColumn("line_licenses", F.array_join("line_licenses", ","))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

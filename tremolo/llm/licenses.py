@@ -1,9 +1,12 @@
 """Licence texts by digests of their canonical form.
 
-Canonical form: lines that hold only a copyright statement are dropped, letters
-are lower-cased, equivalent spellings are made one, every run of other
-characters than letters and digits becomes one space.  A text equals a known
-licence if the SHA-256 digests of both forms are equal.  DataFrame functions only.
+Canonical form: letters are lower-cased; line breaks within a paragraph become spaces;
+a copyright statement ("copyright" with a sign or a year) is dropped up to the words that
+open a licence or to the end of its paragraph, and so is "all rights reserved"; every run
+of other characters than letters and digits becomes one space; equivalent spellings are
+made one; a licence's own title is dropped from the front.  So neither line width nor
+owner, year or title matters.  A text equals a known licence if the SHA-256 digests of
+both forms are equal.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -25,6 +28,31 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"),
 )
 
+# Words that open a licence, a notice or a part of one.
+OPENINGS = (
+    "permission is hereby granted", "permission is granted", "permission to use", "redistribution and use",
+    "redistributions of source", "everyone is permitted", "licensed under", "licenced under", "released under",
+    "this program is free", "this library is free", "this file is part of", "this work is licensed",
+    "this program comes with", "gnomovision comes with", "this software is provided", "this is free and unencumbered",
+    "to the extent possible under law", "the contents of this file", r"contributor\(s\):",
+)
+
+# Titles that stand before a licence's text, in canonical form.
+TITLES = (
+    "mit license", "mit license mit", "expat license", "isc license", "isc license isc", "bsd zero clause license",
+    "zero clause bsd", "0bsd", "bsd license", "new bsd license", "modified bsd license", "simplified bsd license",
+    "bsd 2 clause license", "bsd 3 clause license", "bsd 2 clause simplified license",
+    "bsd 3 clause new or revised license", "unlicense",
+    "apache license version 2 0 january 2004",
+    "apache license version 2 0 january 2004 http www apache org licenses",
+    "mozilla public license version 1 1", "mozilla public license version 2 0", "artistic license",
+    "gnu general public license version 1 february 1989", "gnu general public license version 2 june 1991",
+    "gnu general public license version 3 29 june 2007", "gnu library general public license version 2 june 1991",
+    "gnu lesser general public license version 2 1 february 1999", "gnu lesser general public license version 3 29 june 2007",
+    "gnu free documentation license version 1 2 november 2002", "gnu free documentation license version 1 3 3 november 2008",
+    "creative commons legal code cc0 1 0 universal", "cc0 1 0 universal",
+)
+
 # Known notices and short texts; whole texts are in ``license_texts``.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -46,16 +74,30 @@ def whole_texts() -> list[tuple[str, str]]:
     return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files if f.name.endswith(".txt"))
 
 
-_COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©)[^\n]*$"
+_YEAR = r"(?:[0-9]{4}|year\b|yyyy\b)"
+_MARKED = rf"(?:copyright *(?:\(c\)|©|[\[<]?{_YEAR})|(?:\(c\)|©) *[\[<]?{_YEAR})"
+
+#: ``(pattern, replacement)``, in order, on the lower-cased text; ``{}`` is the first
+#: group.  A paragraph's end is the character 1D.
+STEPS = (
+    (r"[ \t\r\f]*\n[ \t\r\f]*\n[ \t\r\f\n]*", "\x1d"),
+    (r"[ \t\r\f\n]+", " "),
+    (rf"{_MARKED}[^\x1d]*?({'|'.join(OPENINGS)}|\x1d|\z)", "{}"),
+    (r"all rights reserved", ""),
+    (r"[^\p{L}\p{N}]+", " "),
+)
+TITLE = rf"^(?:the )?(?:{'|'.join(sorted(set(TITLES), key=len, reverse=True))}) "
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; of a null text, the empty form."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT, "")
-    plain = F.trim(F.regexp_replace(F.lower(kept), r"[^\p{L}\p{N}]+", " "))
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, kept in STEPS:
+        plain = F.regexp_replace(plain, pattern, kept.format("$1"))
+    plain = F.trim(plain)
     for other, one in SPELLINGS:
         plain = F.replace(plain, F.lit(other), F.lit(one))
-    return plain
+    return F.regexp_replace(plain, TITLE, "")
 
 
 def digest(text: Column) -> Column:
@@ -82,7 +124,7 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | None = None) -> Dat
     ``known`` are by default ``KNOWN`` and ``whole_texts()``.
     ``license`` is the known licence whose text the whole text is, or null;
     ``line_licenses`` are the licences that single lines are, each once, in
-    alphabetic order.  Null and empty texts, and texts of copyright lines only,
+    alphabetic order.  Null and empty texts, and texts of copyright statements only,
     have the digest of the empty form and no licence.  Repeated and null ids are
     kept row by row; no other column is read.  The table of known digests is
     bounded and broadcast, so nothing is shuffled.

@@ -72,19 +72,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CANON = r"""trim(regexp_replace(lower(regexp_replace(coalesce({}, ''),
-  '(?im)^[^\p{{L}}\p{{N}}\n]*(copyright\b|\(c\)|©)[^\n]*$', '', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def _canonical_sql(text: str) -> str:
-    found = _CANON.format(text)
+    found = f"lower(coalesce({text}, ''))"
+    for pattern, kept in licenses.STEPS:
+        found = f"regexp_replace({found}, {_quoted(pattern)}, {_quoted(kept.format(chr(92) + '1'))}, 'g')"
+    found = f"trim({found})"
     for other, one in licenses.SPELLINGS:
         found = f"replace({found}, '{other}', '{one}')"
-    return found
+    return f"regexp_replace({found}, {_quoted(licenses.TITLE)}, '')"
 
 
 _KNOWN_ROWS = ", ".join(
-    f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.KNOWN)
+    f"({i}, {_quoted(name)}, {_quoted(text)})"
+    for i, (name, text) in enumerate([*licenses.KNOWN, *licenses.whole_texts()])
 )
 OP3_SQL = f"""WITH known AS (
   SELECT sha256({_canonical_sql('t')}) AS d, min_by(name, i) AS license
