@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -40,6 +41,26 @@ def test_read_projects(spark, folder):
     ]
 
 
+def test_packed_projects_equal_the_folders(spark, folder, tmp_path):
+    plain = tremolo.read_projects(spark, str(folder))
+    packed = str(tmp_path / "packed")
+    text_folders.pack(text_folders.read_texts(spark, f"{folder}/*/*/*"), packed)
+    assert len([f for f in os.listdir(packed) if f.endswith(".parquet")]) < 5  # not one a text
+    again = tremolo.read_projects(spark, packed, packed=True)
+    assert sorted(again.collect()) == sorted(plain.collect())
+    assert tremolo.read_projects(spark, packed, "other", packed=True).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 3_000])
+def test_listing_order(spark, n):
+    """Positions over many ranges are those of a plain sort; upper case first."""
+    names = [f"{'Ab'[i % 2]}/{i * 7919 % 1_000_003}" for i in range(n)]
+    texts = spark.createDataFrame([(p, "x") for p in names], "path string, text string")
+    got = text_folders.in_listing_order(texts.repartition(7)).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.position)] == sorted(names)
+    assert sorted(r.position for r in got) == list(range(1, n + 1))
+
+
 def test_samples(spark, tmp_path):
     for case, name in (
         ("case1", "f.org.A.testX"), ("case1", "nf.org.B.testY"), ("case2", "nf.org.C.testZ"),
@@ -69,6 +90,24 @@ def test_results_round_trip(spark, tmp_path):
     assert back.where("precision IS NULL").count() == 1 and back.count() == 3
 
 
+def test_fitted_modes(spark, texts):
+    """Each mode changes what it should and nothing else."""
+    some = texts.where("label = 0 OR id % 3 = 0")
+    n_pos, n = some.where("label = 1").count(), some.count()
+    models = {
+        mode: tremolo.NeighborVoteClassifier(handleImbalance=mode, classWeightRatio=0.0).fit(some)
+        for mode in ("smote", "weights", "none")
+    }
+    sizes = {m: model.vectors.groupBy("label").count().collect() for m, model in models.items()}
+    got = {m: {r.label: r["count"] for r in rows} for m, rows in sizes.items()}
+    assert got["weights"] == got["none"] == {0: n - n_pos, 1: n_pos}
+    assert set(got["smote"].values()) == {max(n_pos, n - n_pos)}
+    assert {round(m.fitted.prior, 9) for m in models.values()} == {round(n_pos / n, 9)}
+    weights = {m: (x.fitted.weight_0, x.fitted.weight_1) for m, x in models.items()}
+    assert weights["smote"] == weights["none"] == (None, None)
+    assert weights["weights"] == pytest.approx((n / (2 * (n - n_pos)), n / (2 * n_pos)))
+
+
 def test_base_algorithm(spark, texts):
     whole = tremolo.vectorize(texts.select("id", "text"), eps=0.3, seed=3)
     assert whole.dim and whole.n_rows == 60

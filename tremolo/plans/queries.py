@@ -250,6 +250,62 @@ def s6_paired_samples(spark, sf):
     )
 
 
+FOLDERS = (
+    "paths AS (SELECT 'data/' || coalesce(source, '') || '/' || CASE toxic WHEN 1 THEN "
+    f"'{text_folders.FLAKY_FOLDER}' WHEN 0 THEN '{text_folders.NON_FLAKY_FOLDER}' ELSE "
+    "'unlabelled' END || '/' || d.doc_id || '.txt' AS path, coalesce(text, '') AS text "
+    "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+)
+
+
+def packed_folder(spark, sf) -> str:
+    """All documents as containers, under the paths of text folders."""
+    rows = table(spark, sf, "documents").join(
+        table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left"
+    )
+    folder = (
+        F.when(F.col("toxic") == 1, text_folders.FLAKY_FOLDER)
+        .when(F.col("toxic") == 0, text_folders.NON_FLAKY_FOLDER)
+        .otherwise("unlabelled")
+    )
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.lit("data"), F.coalesce("source", F.lit("")), folder, name)
+    packed = scratch_path(spark, "packed")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    text_folders.pack(rows.select(path.alias("path"), text), packed)
+    return packed
+
+
+@query(
+    "s2_listing_order",
+    o.sql(
+        [FOLDERS],
+        "SELECT path, row_number() OVER (ORDER BY path) AS position, length(text)::INTEGER "
+        "AS n_chars FROM paths",
+    ),
+)
+def s2_listing_order(spark, sf):
+    texts = text_folders.read_packed(spark, packed_folder(spark, sf))
+    ordered = text_folders.in_listing_order(
+        texts.select("path", F.length("text").alias("n_chars"))
+    )
+    return ordered.select("path", F.col("position").cast("long"), "n_chars")
+
+
+@query(
+    "s3_packed_projects",
+    o.sql(
+        [FOLDERS],
+        "SELECT split_part(path, '/', 2) AS project, (split_part(path, '/', 3) = "
+        f"'{text_folders.FLAKY_FOLDER}')::INTEGER AS label, split_part(path, '/', 4) AS file, "
+        "md5(text) AS md5 FROM paths WHERE split_part(path, '/', 3) <> 'unlabelled'",
+    ),
+)
+def s3_packed_projects(spark, sf):
+    found = text_folders.read_projects(spark, packed_folder(spark, sf), packed=True)
+    return found.select("project", "label", "file", F.md5("text").alias("md5"))
+
+
 SIMPLE = (
     "simple AS (SELECT d.source AS project, l.toxic AS label, "
     "1 - l.quality AS prediction FROM documents d JOIN labels l USING (doc_id))"
@@ -1399,9 +1455,9 @@ def v8_base_classification(spark, sf):
     return predicted.select("id", "label", "prediction")
 
 
-def enhanced_near(train: str, test: str) -> list[str]:
-    """Neighbours of ``test`` rows by unprojected TF-IDF bigrams and scaled
-    structural measures."""
+def enhanced_near(train: str, test: str, tfidf: bool = True, metric: str = "cosine") -> list[str]:
+    """Neighbours of ``test`` rows by unprojected TF-IDF bigrams (or their counts) and
+    scaled structural measures."""
     names = structural.STRUCTURAL_FEATURES
     scaled = ", ".join(
         f"({c} - avg({c}) FILTER ({train}) OVER ()) / (CASE WHEN stddev_pop({c}) FILTER "
@@ -1415,7 +1471,8 @@ def enhanced_near(train: str, test: str) -> list[str]:
         f"n AS (SELECT count(*) AS n FROM docs WHERE {train})",
         "idf AS (SELECT term, ln((1.0::DOUBLE + n) / (1 + count(*))) + 1 AS idf "
         f"FROM grams, n WHERE {train} GROUP BY term, n)",
-        TFIDF.format(counts="grams"),
+        TFIDF.format(counts="grams") if tfidf else
+        "tfidf AS (SELECT id, term, tf::DOUBLE AS w FROM grams JOIN idf USING (term))",
         f"struct AS ({structural_sql('docs', 'id', 'text')})",
         f"scaled AS (SELECT id, {scaled} FROM struct)",
         f"nums AS (SELECT id, [{listed}] AS vec FROM scaled)",
@@ -1428,13 +1485,13 @@ def enhanced_near(train: str, test: str) -> list[str]:
         "list_dot_product(p.vec, q.vec) AS dot, np.sq AS na, nq.sq AS nb FROM nums p "
         "CROSS JOIN nums q JOIN nt np ON np.id = p.id JOIN nt nq ON nq.id = q.id "
         "LEFT JOIN dots ON dots.a = p.id AND dots.b = q.id)",
-        fixed_candidates(o.cosine("dot", "na", "nb")),
+        fixed_candidates(o.distance_of(metric)("dot", "na", "nb")),
         o.ranked("1", 7).replace("PARTITION BY 1, ", "PARTITION BY "),
         f"pri AS (SELECT avg(label)::DOUBLE AS prior, count(*)::DOUBLE AS n, "
         f"sum(label)::DOUBLE AS n1 FROM docs WHERE {train})",
         "weighted AS (SELECT *, CASE WHEN label = 1 THEN n / (2 * n1) ELSE "
         "n / (2 * (n - n1)) END AS cw FROM near, pri)",
-        o.tally("query_id, prior, query_label", "distance", "weighted", "cw"),
+        *([o.tally("query_id, prior, query_label", "distance", "weighted", "cw")] if tfidf else []),
     ]
 
 
@@ -1487,6 +1544,29 @@ def a6_a7_enhanced_scores(spark, sf):
     )
 
 
+@query(
+    "t8_count_model_predictions",
+    o.sql(
+        [
+            *enhanced_near(f"NOT {o.HELD_OUT}", o.HELD_OUT, False, "euclidean"),
+            o.tally("query_id, prior, query_label", "uniform", "weighted"),
+        ],
+        "SELECT query_id AS id, "
+        f"{o.decide_prior('0.4::DOUBLE', 'prior', False)} AS prediction, "
+        f"round({o.confidence('prior', False)}, 6) AS confidence FROM votes",
+    ),
+)
+def t8_count_model_predictions(spark, sf):
+    """Raw counts, Euclidean distances, uniform votes, no class weights and no prior."""
+    model, test = enhanced_model(
+        spark, sf, useTfidf=False, metric="euclidean", weights="uniform",
+        handleImbalance="none", usePrior=False,
+    )
+    return model.transform(test).select(
+        "id", "prediction", F.round("confidence", 6).alias("confidence")
+    )
+
+
 @query("a3_smote_model_default_projection")
 def a3_smote_model_default_projection(spark, sf):
     model, test = enhanced_model(
@@ -1628,6 +1708,39 @@ def b6_modes(spark, sf):
     return out.groupBy("mode").agg(F.count(F.lit(1)).alias("n_train"))
 
 
+@query(
+    "b6_fitted_modes",
+    o.sql(
+        [
+            POOL,
+            f"size AS (SELECT count(*) AS n, sum(label)::BIGINT AS n1 FROM docs WHERE NOT {o.HELD_OUT})",
+        ],
+        "SELECT mode, CASE WHEN mode = 'smote' THEN 2 * greatest(n1, n - n1) ELSE n END AS n_train, "
+        "CASE WHEN mode = 'smote' THEN greatest(n1, n - n1) ELSE n1 END AS n_flaky, "
+        "round(n1::DOUBLE / n, 9) AS prior, "
+        "CASE WHEN mode = 'weights' THEN round(n / (2.0::DOUBLE * (n - n1)), 9) END AS weight_0, "
+        "CASE WHEN mode = 'weights' THEN round(n / (2.0::DOUBLE * n1), 9) END AS weight_1 "
+        "FROM size, (VALUES ('smote'), ('weights'), ('none')) m(mode)",
+    ),
+)
+def b6_fitted_modes(spark, sf):
+    """Training rows, prior and weights of a model fitted in each mode."""
+    out = None
+    for mode in ("smote", "weights", "none"):
+        model, _ = enhanced_model(spark, sf, eps=0.3, handleImbalance=mode)
+        state = model.fitted
+        part = model.vectors.agg(
+            F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n_train"),
+            F.sum("label").cast("long").alias("n_flaky"),
+        ).select(
+            "*", F.round(F.lit(state.prior), 9).alias("prior"),
+            F.round(F.lit(state.weight_0).cast("double"), 9).alias("weight_0"),
+            F.round(F.lit(state.weight_1).cast("double"), 9).alias("weight_1"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Evaluation
 

@@ -3,13 +3,19 @@
 Spark's listing skips names that start with ``.`` and also those that start
 with ``_``; a folder with such names needs them renamed.  Files are read whole
 (a text is one row), in UTF-8, not recursively.
+
+Millions of small files cost more to list than to read.  ``pack`` lists them once
+and writes containers of ``(path, text)``; their number follows the bytes and not
+the files.  ``read_projects`` and ``read_samples`` read either form alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 # The folder names of the two classes.
 FLAKY_FOLDER = "flakyMethods"
 NON_FLAKY_FOLDER = "nonFlakyMethods"
@@ -27,6 +33,38 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.load(path).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def pack(texts: DataFrame, folder: str) -> None:
+    """Write ``texts(path, text)`` as containers: one for each task of their scan,
+    which takes many small files at once.  Nothing is shuffled."""
+    texts.select("path", "text").write.parquet(folder)
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, text)`` of containers."""
+    return spark.read.schema("path string, text string").parquet(folder)
+
+
+def in_listing_order(texts: DataFrame) -> DataFrame:
+    """Add ``position`` (1, 2, …), the place of each row in the order of paths.
+
+    The sort is by ranges of paths, so no task holds all rows.  The sorted rows are
+    written first: a task that is repeated cannot number them in another way.
+    """
+    number = F.monotonically_increasing_id()  # partition, and row within it
+    ordered = texts.repartitionByRange("path").sortWithinPartitions("path")
+    ordered = ordered.withColumn("_number", number)
+    table = materialize(ordered, "listing").withColumn("_part", F.shiftright("_number", 33))
+    # One row for each partition, so one task may add them up.
+    sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = materialize(offsets, "offsets")
+    place = F.col("_off") + F.col("_number").bitwiseAND((1 << 33) - 1) + 1
+    return table.join(offsets, "_part").withColumn("position", place).select(
+        *texts.columns, "position"
+    )
+
+
 def path_part(path: Column, from_end: int) -> Column:
     """A component of a path, counted from its end (1 is the file name)."""
     return F.element_at(F.split(path, "/"), -from_end)
@@ -51,9 +89,14 @@ def with_project_and_label(
     )
 
 
-def read_projects(spark: SparkSession, base: str, project: str = "*") -> DataFrame:
+def read_projects(
+    spark: SparkSession, base: str, project: str = "*", packed: bool = False
+) -> DataFrame:
     """Both classes of one project, or of all projects below ``base`` in one
-    scan with ``project`` as a column."""
+    scan with ``project`` as a column; ``packed`` reads containers in ``base``."""
+    if packed:
+        found = with_project_and_label(read_packed(spark, base))
+        return found if project == "*" else found.where(F.col("project") == project)
     texts = read_texts(spark, f"{base}/{project}/{{{FLAKY_FOLDER},{NON_FLAKY_FOLDER}}}/*")
     return with_project_and_label(texts)
 
@@ -82,7 +125,9 @@ def parse_sample_paths(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_samples(spark: SparkSession, base: str) -> DataFrame:
+def read_samples(spark: SparkSession, base: str, packed: bool = False) -> DataFrame:
+    if packed:
+        return parse_sample_paths(read_packed(spark, base))
     return parse_sample_paths(read_texts(spark, f"{base}/*/case*/*"))
 
 
