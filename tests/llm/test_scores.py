@@ -207,6 +207,22 @@ def test_ignored_words_do_not_change_a_seed():
     assert same == [m in ("11101101",) for m in decontaminate.MASKS]
 
 
+def test_forgotten_words_do_not_change_a_score(monkeypatch):
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(30)]
+    texts = [
+        " ".join(rng.choice(common) if rng.random() < 0.5 else f"x{rng.random()}" for _ in range(40))
+        for _ in range(200)
+    ]
+    texts += ["", None, " ".join(f"y{i}" for i in range(500))]
+    model = crf_toxicity.learn(texts[:100], [i % 2 for i in range(100)])
+    whole, _ = crf_toxicity.Scorer(model)(texts)
+    monkeypatch.setattr(crf_toxicity, "_WORDS_KEPT", 60)
+    scorer = crf_toxicity.Scorer(model)
+    parts = [scorer(texts[i : i + 5])[0] for i in range(0, len(texts), 5)]
+    np.testing.assert_allclose(np.concatenate(parts), whole, rtol=1e-9)
+
+
 # -- Licences
 
 

@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -175,8 +176,8 @@ class Model:
     marking: frozenset[bytes] = frozenset()
 
     def odds(self, some: list[bytes]) -> np.ndarray:
-        none = len(self.names)
-        found = [[self.names.get(f, none) for f in features(w, self.marking)] for w in some]
+        none, get, marking = len(self.names), self.names.get, self.marking
+        found = [[get(f, none) for f in features(w, marking)] for w in some]
         return self.weights[np.array(found)].sum(axis=1)
 
 
@@ -415,19 +416,33 @@ class Scorer:
         self.model = model
         self.known: dict[bytes, int] = {}
         self.odds = np.zeros((1 << 12, 3), np.float32)
+        self.met = np.zeros(1 << 12, np.int32)  # batches that held the word
+
+    def _forget(self) -> None:
+        """Words of one batch alone go first, then those of few; half is kept at most."""
+        n = len(self.known)
+        least = max(2, int(np.partition(self.met[:n], n // 2)[n // 2]) + 1)
+        kept = self.met[:n] >= least
+        self.known = {w: k for k, w in enumerate(compress(self.known, kept))}
+        end = len(self.known)
+        self.odds[:end], self.met[:end] = self.odds[:n][kept], 1
 
     def _ids(self, tokens: list[list[bytes]]) -> np.ndarray:
+        if len(self.known) > _WORDS_KEPT:
+            self._forget()
         known = self.known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
         new = list({w for t in tokens for w in t if w not in known})
         if new:
             end = len(known) + len(new)
             if end > len(self.odds):
                 self.odds = np.concatenate([self.odds, np.zeros((end, 3), np.float32)])
+                self.met = np.concatenate([self.met, np.zeros(end, np.int32)])
+            self.met[len(known) : end] = 0
             self.odds[len(known) : end] = self.model.odds(new)
             known.update(zip(new, range(len(known), end), strict=True))
-        return np.fromiter((known[w] for t in tokens for w in t), np.int64)
+        ids = np.fromiter((known[w] for t in tokens for w in t), np.int64)
+        self.met[ids] += 1  # once for a word, however often it occurs
+        return ids
 
     def __call__(self, texts: list[str | None]):
         """Scores, and for each text its marginals."""
