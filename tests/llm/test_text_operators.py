@@ -196,8 +196,83 @@ def test_urls(spark):
             (8, "allow", None), (9, "allow", "www.example.com/en/"), (10, "block", "example.com/en/"),
             (11, "allow", None), (12, "allow", None), (13, "allow", None), (None, "block", "net/fr/")]
     assert verdicts == sorted(want, key=str)
-    with pytest.raises(ValueError):
-        url_blocks.judge(pages, [("block", "h", "/")] * 2_000)
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    rng = random.Random(9)
+    names = ["a", "b", "a.b", "b.a.b", "c.a.b", "ab", ""]
+    paths = ["", "/", "/x", "/x/", "/x/y", "/y"]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(names[:-1]), rng.choice(paths[1:])) for _ in range(60)]
+    rows = spark.createDataFrame([(h, p) for h in names for p in paths] * 2, "host string, path string")
+    short = url_blocks.with_rule(rows, rules).collect()
+    monkeypatch.setattr(url_blocks, "MAX_RULES", 10)
+    long = url_blocks.with_rule(rows, rules).collect()
+    assert sorted(map(str, short)) == sorted(map(str, long)) and any(r.match for r in short)
+
+
+#: base, link, what RFC 3986 makes of it (its own list of examples and others)
+RESOLVED = [
+    *[("http://a/b/c/d;p?q", link, want) for link, want in [
+        ("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"),
+        ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y", "http://a/b/c/g?y"), ("#s", None),
+        ("g#s", "http://a/b/c/g"), (";x", "http://a/b/c/;x"), (".", "http://a/b/c/"), ("./", "http://a/b/c/"),
+        ("..", "http://a/b/"), ("../", "http://a/b/"), ("../g", "http://a/b/g"), ("../..", "http://a/"),
+        ("../../g", "http://a/g"), ("../../../g", "http://a/g"), ("/./g", "http://a/g"), ("/../g", "http://a/g"),
+        ("g.", "http://a/b/c/g."), ("..g", "http://a/b/c/..g"), ("./g/.", "http://a/b/c/g/"),
+        ("g/../h", "http://a/b/c/h"), ("g?y/../x", "http://a/b/c/g?y/../x"), ("mailto:x@y", None), ("", None)]],
+    ("http://site.com", "example.com/en/x", "http://site.com/example.com/en/x"),
+    ("http://site.com?q=/z", "x", "http://site.com/x"), ("no scheme", "x", None),
+    ("HTTP://Site.COM/a", "HTTPS://Other.NET/b/../c?D", "https://other.net/c?D"),
+    ("http://a/b", "c?x=1&amp;y=2&#38;z&#x2F;&#47;&amp;#47;", "http://a/c?x=1&y=2&z//&#47;"),
+]
+
+
+def test_links_are_resolved(spark):
+    rows = [(k, base, f'<link rel="canonical" href="{link}">') for k, (base, link, _) in enumerate(RESOLVED)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((_lowered(b), t) for b, _, t in RESOLVED if t)
+    # "&#47;" of the last row: its fragment goes
+    want = [(b, t.split("#")[0]) for b, t in want]
+    assert sorted((r.page, r.target) for r in url_blocks.link_edges(pages).collect()) == want
+
+
+def _lowered(url):
+    scheme, _, rest = url.partition("://")
+    name, slash, path = rest.partition("/")
+    return f"{scheme.lower()}://{name.lower()}{slash}{path}" if rest else url
+
+
+def planted_pages(n, seed=4):
+    """Pages on few addresses, joined by links written in many ways."""
+    rng = random.Random(seed)
+    hosts = ["a.net", "B.org", "c.com", "d.org", "www.example.com", "M.example.com", "e.org"]
+    spots = ["/", "/es/x", "/fr/y", "/en/z", "/1", "/2/3", "/2/4?q=1", ""]
+    address = lambda: rng.choice(["http://", "HTTP://"]) + rng.choice(hosts) + rng.choice(spots)
+    forms = [
+        "<link rel=canonical href={}>", '<LINK HREF = " {} " Rel="shortlink Canonical">', "<!-- <link rel=canonical href={}> -->",
+        "<meta http-equiv='Refresh' content='0; URL={}'>", '<meta content="5;\'{}\'" http-equiv="refresh">',
+        "<link rel=stylesheet href={}>", "<script>'<link rel=canonical href={}>'</script>", "<meta http-equiv=refresh content=5>",
+        "<link rel=canonical data-href={} >", "<a href={}>", "<link rel='canonical' href='{}'/><link rel='canonical' href='/1'>",
+    ]
+    links = [address, lambda: rng.choice(["../es/x", "/1", "3", "?q=1", "//A.net/es/x", "&#x2F;2&#47;3", "./.././2/4?q=1", "#x", "mailto:a@b"])]
+    rows = [(i, address(), rng.choice(forms).format(rng.choice(links)()) + "\n" * rng.randrange(2)) for i in range(n)]
+    return rows + [(n, None, ""), (n + 1, "x", None), (n + 2, "http://f.org/é", "<link rel=canonical href=http://a.net/es/x")]
+
+
+@pytest.mark.parametrize("n", [30, 80, 200])
+def test_linked_pages_equal_sql(spark, n):
+    import duckdb
+
+    from tremolo.llm.queries import OP8_SQL, URL_RULES
+
+    rows = planted_pages(n, seed=n)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    got = url_blocks.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()
+    columns = ["page_id", "host", "path", "rule", "verdict", "spread"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({OP8_SQL})").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(want)
+    assert any(r.spread for r in got)
 
 
 def test_url_twin(spark):

@@ -151,25 +151,63 @@ URL_RULES = (
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
-_FIRST_TAG = "regexp_extract(html, '(?is){}', 0)"
-_CANONICAL = _FIRST_TAG.format(r'''<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>''')
-_REFRESH = _FIRST_TAG.format(r'''<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>''')
-_VALUE = r'''\s*=\s*["'']?([^"''\s>]+)'''
+_SITE = r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+
+
+def _sql_value(text: str, pattern: str) -> str:
+    """SQL of the three forms of a quoted or unquoted value."""
+    quoted = pattern.replace("'", "''")
+    return "trim(" + " || ".join(f"regexp_extract({text}, '{quoted}', {k})" for k in (1, 2, 3)) + ")"
+
+
+def _sql_attribute(name: str) -> str:
+    return _sql_value("tag", rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"'>]+))""")
+
+
+def _sql_node(url: str) -> str:
+    site = f"translate(regexp_extract({url}, '^({_SITE})', 1), {_AZ})"
+    return f"{site} || regexp_extract({url}, '^(?:{_SITE})?([^#]*)', 1)"
+
+
+_NUMBERED = (
+    "&#(?:0*(?:3[3-79]|[4-9][0-9]|1[01][0-9]|12[0-6])|[xX]0*(?:2[1-57-9a-fA-F]|[3-6][0-9a-fA-F]|7[0-9a-eA-E]));"
+)
+_REFRESHED = r"""(?is)^\s*[0-9.]+[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))"""
 OP8_SQL = rf"""WITH RECURSIVE
-pages_ AS (SELECT page_id, html, url, regexp_extract(url, '^([^#]*)', 1) AS node FROM pages),
-links AS (
-  SELECT url, regexp_extract({_CANONICAL}, '(?is)\bhref{_VALUE}', 1) AS link FROM pages_
-  UNION ALL
-  SELECT url, regexp_extract({_REFRESH}, '(?is)\burl{_VALUE}', 1) FROM pages_),
-absolute AS (SELECT url, CASE
-  WHEN link = '' THEN NULL
-  WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-  WHEN starts_with(link, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) || ':' || link
-  WHEN starts_with(link, '/') THEN regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || link
-  WHEN regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL
-  ELSE regexp_extract(url, '^([^?#]*/)', 1) || link END AS target FROM links),
-one_way AS (SELECT regexp_extract(url, '^([^#]*)', 1) AS a, regexp_extract(target, '^([^#]*)', 1) AS b
-  FROM absolute WHERE url IS NOT NULL AND target IS NOT NULL),
+pages_ AS (SELECT page_id, html, url, {_sql_node("url")} AS node FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(
+    regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)', ' ', 'g'),
+    '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages_ WHERE url IS NOT NULL),
+written AS (SELECT url, CASE
+  WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches({_sql_attribute("rel")}, '(?i)(^|\s)canonical(\s|$)')
+    THEN {_sql_attribute("href")}
+  WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_sql_attribute("http-equiv")}) = 'refresh'
+    THEN {_sql_attribute("content")} END AS value, regexp_matches(tag, '(?i)^<meta') AS refresh FROM tags),
+plain AS (SELECT url, refresh, regexp_replace(list_reduce(
+    list_concat([value], list_distinct(regexp_extract_all(value, '{_NUMBERED}'))),
+    lambda acc, e: replace(acc, e, chr(CASE WHEN lower(e[3]) = 'x'
+      THEN ('0x' || regexp_extract(e, '([0-9a-fA-F]+);', 1))::INT
+      ELSE regexp_extract(e, '([0-9]+);', 1)::INT END))), '&(?:amp|#0*38|#[xX]0*26);', '&', 'g') AS value
+  FROM written WHERE value <> ''),
+links AS (SELECT url, CASE WHEN refresh THEN {_sql_value("value", _REFRESHED)} ELSE value END AS link FROM plain),
+whole AS (SELECT url, link, regexp_extract(url, '^({_SITE})', 1) AS site,
+    CASE WHEN starts_with(link, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || link
+      ELSE link END AS own
+  FROM links WHERE link <> ''),
+cut AS (SELECT *, regexp_extract(own, '^({_SITE})', 1) AS away, regexp_extract(link, '^([^?#]*)', 1) AS goal FROM whole),
+placed AS (SELECT url, CASE WHEN away <> '' THEN away ELSE site END AS site, CASE
+    WHEN away <> '' THEN regexp_extract(own, '://[^/?#]*([^?#]*)', 1)
+    WHEN goal = '' THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1)
+    WHEN starts_with(goal, '/') THEN goal
+    ELSE coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*/)', 1), ''), '/') || goal END AS path,
+    away = '' AND goal = '' AS same, regexp_extract(own, '^[^?#]*(\?[^#]*)', 1) AS query
+  FROM cut WHERE site <> '' AND (away <> '' OR NOT regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|//)'))
+    AND (away <> '' OR goal <> '' OR regexp_matches(link, '^\?'))),
+absolute AS (SELECT url, site || CASE WHEN NOT same AND regexp_matches(path, '/\.{{1,2}}(/|$)') THEN
+    list_reduce(string_split(path, '/'), lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '')
+      WHEN s = '.' THEN acc ELSE acc || '/' || s END) || CASE WHEN regexp_matches(path, '/\.{{1,2}}$') THEN '/' ELSE '' END
+    ELSE path END || query AS target FROM placed),
+one_way AS (SELECT {_sql_node("url")} AS a, {_sql_node("target")} AS b FROM absolute),
 edges AS (SELECT a, b FROM one_way WHERE a <> b UNION SELECT b, a FROM one_way WHERE a <> b),
 nodes AS (SELECT node FROM pages_ WHERE node IS NOT NULL UNION SELECT a FROM edges),
 split AS (SELECT node,
