@@ -103,6 +103,23 @@ def test_copies_none_and_repeated_rows(spark):
     assert kept.columns == ["doc_id", "text", "digest", "n"]
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_copies_with_null_ids_and_clashing_columns(spark, weak):
+    rows = [(None, "a", "x"), (1, "a", "y"), (2, "b", "z"), (None, "c", "v"), (None, "c", "w"), (None, "d", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest string")
+    digest = (lambda t: F.sha2(F.length(t).cast("string"), 256)) if weak else exact_dedup.sha256
+    for snapshot in (F.lit(None).cast("int"), F.lit(0), exact_dedup.batches(F.col("doc_id"))):
+        got = exact_dedup.group_copies(docs, snapshot, digest).collect()
+        found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str)
+        assert found == sorted(
+            [(None, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True), (None, None, 2, True), (None, None, 2, True), (None, None, 1, True)],
+            key=str,
+        )
+    kept = exact_dedup.survivors(docs, exact_dedup.batches(F.col("doc_id")))
+    assert kept.columns == docs.columns
+    assert sorted(r["__digest"] for r in kept.collect()) == ["u", "v", "w", "y", "z"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 100, 5_000, 60_000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)

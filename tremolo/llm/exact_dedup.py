@@ -148,7 +148,8 @@ def group_copies(docs: DataFrame, snapshot: Column, digest=sha256) -> DataFrame:
     ``(doc_id, keep_id, group_size, kept, digest)``, one row per row: the
     largest doc_id of equal texts stays.  A null text counts as empty; a row that
     is repeated with its doc_id counts as often as it occurs and shares its
-    decision; null ids are smaller than all others.
+    decision; null ids are smaller than all others, so a row with a null id stays
+    only if no equal text has an id.
 
     Hot groups: copies are pre-aggregated on the map side wherever a digest is a
     key, and the last join is a plain left join, which adaptive execution splits.
@@ -186,11 +187,12 @@ def group_copies(docs: DataFrame, snapshot: Column, digest=sha256) -> DataFrame:
         "suspects",
     )
 
-    # Byte check: all texts of a digest are equal if the least equals the
-    # greatest.  Partial aggregation sends one text per digest and task.
-    bytes_ = rows.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    # Byte check: a digest must have one text only.  Texts are keys, so partial
+    # aggregation sends each once from a task, and digests alone go on.
+    texts = rows.groupBy("digest", "text").agg(F.count("*").alias("copies"))
+    different = texts.groupBy("digest").agg(F.count("*").alias("texts"))
     checked = materialize(
-        suspects.join(bytes_, "digest").select("digest", "n", "top", (F.col("a") == F.col("b")).alias("same")),
+        suspects.join(different, "digest").select("digest", "n", "top", (F.col("texts") == 1).alias("same")),
         "checked",
     )
     same = checked.where("same").select("digest", "n", "top")
@@ -206,7 +208,7 @@ def group_copies(docs: DataFrame, snapshot: Column, digest=sha256) -> DataFrame:
     return result.select(
         "doc_id", keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"), "digest",
+        F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest",
     )
 
 
@@ -214,9 +216,9 @@ def survivors(docs: DataFrame, snapshot: Column) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that repeat
     both the doc_id and the text of a row that stays, stay with it."""
     kept = group_copies(docs, snapshot).where("kept").select("doc_id", "digest").distinct()
-    marked = docs.withColumn("__digest", sha256(F.coalesce(F.col("text"), F.lit(""))))
-    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["__digest"] == kept["digest"])
-    return marked.join(kept, same, "left_semi").drop("__digest")
+    digest = sha256(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (digest == kept["digest"])
+    return docs.join(kept, same, "left_semi")
 
 
 def batches(doc_id: Column, snapshots: int = 2) -> Column:
