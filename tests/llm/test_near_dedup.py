@@ -90,6 +90,7 @@ def test_nothing_and_odd_ids(spark):
     rows = [(None, text), (None, ""), (4, text), (4, text), (7, text + " end")]
     got = sorted(run(spark, rows, 5), key=str)
     assert [r[2:] for r in got if r[0] is not None] == [(4, True), (4, True), (4, False)]
+    assert [r[2:] for r in got if r[0] is None] == [(None, True)] * 2
     left = near_dedup.survivors(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, rep int"))
     assert left.columns == ["doc_id", "text", "rep"] and left.count() == 4
 
@@ -104,6 +105,6 @@ def test_registers_estimate():
             a, b = np.unique(x[: n + n // 3]), np.unique(x[n // 3 : n + n // 2])
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             equal = (near_dedup.registers(a) == near_dedup.registers(b)).sum()
-            errors.append(near_dedup.estimate(equal, equal) - true)
+            errors.append(near_dedup.estimate(equal) - true)
         assert abs(np.mean(errors)) < 0.05
     assert len(near_dedup.shingles("a b c", 4, hashes)) == 1

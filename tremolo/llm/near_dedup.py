@@ -91,18 +91,16 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
-def collision_rate(n: np.ndarray) -> np.ndarray:
-    """Probability that registers of disjoint sets of ``n`` shingles agree: the
-    leading zeros spread over some values, the mantissa over ``2**MANTISSA``; for
-    two like geometric counts the zeros agree with probability 1/3."""
-    return np.full(np.shape(n), 1 / 3 / (1 << MANTISSA))
+#: Probability that registers of disjoint sets agree.  The mantissa is even over
+#: its values, and two leading-zero counts agree with probability 1/3 as they are
+#: all but geometric at any set size; a constant therefore stands for the sizes.
+COLLISION = 1 / 3 / (1 << MANTISSA)
 
 
-def estimate(equal: np.ndarray, n: np.ndarray) -> np.ndarray:
+def estimate(equal: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the number of equal registers, corrected for
     registers that agree by chance."""
-    by_chance = collision_rate(n)
-    return (equal / REGISTERS - by_chance) / (1 - by_chance)
+    return (equal / REGISTERS - COLLISION) / (1 - COLLISION)
 
 
 def least_estimate(percent: int) -> float:
@@ -158,7 +156,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 for i in (2, 3)
             )
             equal = (left == right).sum(axis=1)
-            keep = pa.array(np.flatnonzero(estimate(equal, equal) >= least))
+            keep = pa.array(np.flatnonzero(estimate(equal) >= least))
             yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (0, 1)], ["a", "b"])
 
     regs = classes.select("rep", "regs")
@@ -234,7 +232,7 @@ def _across(open_: DataFrame, size: int, percent: int) -> DataFrame:
             if key[1] != key[2]:  # pairs inside a block are its own unit's
                 rest = rest[block[rest] != block[i]]
             equal = (regs[rest] == regs[i]).sum(axis=1)
-            good = estimate(equal, equal) >= least
+            good = estimate(equal) >= least
             for j in rest[good][np.argsort(-equal[good], kind="stable")]:
                 if comp[i] != comp[j] and _similar(of(i), of(j), percent):
                     found.append((rep[j], rep[i]))
@@ -313,7 +311,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         resolved.where("copies > 1 OR component_id <> rep").select(*named, "component_id"), "resolved"
     )
     joined = sets.select("doc_id", *named).join(resolved, named, "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
