@@ -169,7 +169,7 @@ def test_passages(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(2_000)] + ["the", "of", "to", "a"] * 20
     words_ = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [words_(n) for n in (5, 7, 12, 20, 30, 40, 50)]
+    items = [words_(n) for n in (3, 5, 6, 7, 10, 12, 20, 30, 40, 50)]
     texts, want = [], set()
     for n in range(120):
         own = words_(60)
@@ -183,7 +183,7 @@ def test_passages(spark):
         texts.append(", ".join(own).replace("w1", "W1") if n % 2 else " ".join(own))
     for i, text in enumerate(texts):
         for k, item in enumerate(items):
-            if len(item) >= 6 and longest([w.strip(",") for w in text.lower().split()], item):
+            if longest([w.strip(",") for w in text.lower().split()], item):
                 want.add((i, k))
     assert len(want) > 50
     bench = spark.createDataFrame([(k, " ".join(i), "z") for k, i in enumerate(items)], "item_id long, text string, doc_id string")
@@ -194,6 +194,30 @@ def test_passages(spark):
     assert {r.doc_id for r in left.collect()} == set(range(122)) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("n", range(1, 18))
+def test_recall_of_substitutions(n):
+    """All placements of the most words that may be substituted in n words."""
+    hashes = WordHashes()
+    words_ = [f"w{k}" for k in range(n)]
+    whole = decontaminate.word_hashes(" ".join(words_), hashes)
+    used = decontaminate.masks(n)
+    seeds = [set(v.tolist()) for v, _ in decontaminate.seeds(whole, used)]
+    found = total = 0
+    for places in itertools.combinations(range(1, n - 1), n // 5):
+        text = " ".join("other" if k in places else w for k, w in enumerate(words_))
+        other = decontaminate.seeds(decontaminate.word_hashes(f"x {text} y", hashes), used)
+        found += any(s & set(v.tolist()) for s, (v, _) in zip(seeds, other, strict=True))
+        total += 1
+    assert total and (found == total if n < decontaminate.MIN_WORDS else found >= 0.97 * total)
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Yes."), (2, "one two"), (3, "a b c d e"), (4, ""), (5, "a b X d e f")], "item_id long, text string")
+    texts = ["yes, yes yes", "one  TWO", "two one", "z a b q d e f", "a q c d e", "q b c d e", "no"]
+    got = {(r.doc_id, r.item_id, r.overlap_words, r.equal_words) for r in decontaminate.find(frame(spark, texts), bench).collect()}
+    assert got == {(0, 1, 1, 1), (1, 2, 2, 2), (3, 3, 5, 4), (3, 5, 6, 5), (4, 3, 5, 4)}
+
+
 def test_passages_of_nothing(spark):
     bench = spark.createDataFrame([(0, None), (1, "")], "item_id long, text string")
     assert decontaminate.find(frame(spark, ["a b c d e f g h"]), bench).count() == 0

@@ -6,12 +6,20 @@ substituted.  Window hashes of texts and benchmark items are joined, and around
 every common hash the words of both are laid side by side: a passage counts if it
 has ``MIN_WORDS`` words or more (all words of a shorter item) of which at least
 four fifths are equal, the first and the last included.
+
+Five masks serve the items of ``MIN_WORDS`` words or more.  An item with fewer
+words counts as a whole only, so it has masks as long as itself, one for every
+choice of places that may be substituted; they miss nothing.  Of the substitutions
+that a longer passage may have, the five masks find 98 % at 13 to 15 words and
+99.9 % or more from 16 on (all placements counted).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +49,36 @@ def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.array([hashes[w] for w in found], np.uint64)
 
 
-def seeds(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+@cache
+def masks(words: int) -> tuple[str, ...]:
+    """The masks of an item of so many words.  A short one with ``s`` places to
+    substitute deals its inner places to ``s + 2`` blocks, and every choice of
+    ``s`` blocks is ignored by a mask: any ``s`` places lie in some choice."""
+    if words >= MIN_WORDS:
+        return MASKS
+    up, down = SIMILARITY
+    spare = words - -(-words * up // down)
+    return tuple(
+        "".join("0" if 0 < k < words - 1 and k % (spare + 2) in ignored else "1" for k in range(words))
+        for ignored in combinations(range(spare + 2), spare)
+    )
+
+
+def seeds(h: np.ndarray, used: Iterable[str] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask, the hash at every place where its window fits."""
-    for number, mask in enumerate(MASKS):
+    for mask in used:
         places = len(h) - len(mask) + 1
         if places <= 0:
             continue
-        value = np.full(places, number + 1, np.uint64)
+        value = np.full(places, len(mask) << 32 | int(mask, 2), np.uint64)
         for k, read in enumerate(mask):
             if read == "1":
                 value = (value ^ h[k : k + places]) * np.uint64(0x9E3779B97F4A7C15)
                 value ^= value >> np.uint64(29)
-        yield mix(value), np.arange(places)
+        value, at = mix(value), np.arange(places)
+        if "0" not in mask and len(mask) < min(map(len, MASKS)):  # equal as a whole: once a text
+            value, at = np.unique(value, return_index=True)
+        yield value, at
 
 
 def around(h: np.ndarray, at: int) -> bytes:
@@ -76,7 +102,7 @@ def overlaps(left: list[bytes], right: list[bytes], needed: np.ndarray) -> tuple
     length = np.zeros(len(a), np.int64)
     equal = np.zeros(len(a), np.int64)
     up, down = SIMILARITY
-    for size in range(min(map(len, MASKS)), _WIDTH + 1):
+    for size in range(int(needed.min()) if len(needed) else 1, _WIDTH + 1):
         hits = sums[:, size:] - sums[:, :-size]
         good = (hits * down >= up * size) & (inside[:, size:] - inside[:, :-size] == size)
         good &= same[:, : _WIDTH - size + 1] & same[:, size - 1 :]
@@ -87,8 +113,7 @@ def overlaps(left: list[bytes], right: list[bytes], needed: np.ndarray) -> tuple
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``(key, item_id, needed, item_around)`` of every window of every item.  Items
-    of fewer than six words are too short to be evidence and have none."""
+    """``(key, item_id, needed, item_around)`` of every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -96,7 +121,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             keys, ids, need, near = [], [], [], []
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = word_hashes(text, hashes)
-                for values, places in seeds(h):
+                for values, places in seeds(h, masks(len(h)) if len(h) else ()):
                     keys.append(values.view(np.int64))
                     ids += [item] * len(places)
                     need += [min(MIN_WORDS, len(h))] * len(places)
@@ -127,8 +152,9 @@ def screen_table(keys: DataFrame) -> np.ndarray:
     return table
 
 
-def text_hits(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def text_hits(docs: DataFrame, table: np.ndarray, used: Iterable[str] = MASKS) -> DataFrame:
     """``(doc_id, key, around)`` of the windows that pass the screen."""
+    used = tuple(used)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +163,7 @@ def text_hits(docs: DataFrame, table: np.ndarray) -> DataFrame:
             keys, rows, near = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 h = word_hashes(text, hashes)
-                for values, places in seeds(h):
+                for values, places in seeds(h, used):
                     b = values >> np.uint64(64 - SCREEN_BITS)
                     hit = np.flatnonzero((bits[b >> np.uint64(5)] >> (b & np.uint64(31)).astype(np.uint32)) & 1)
                     if len(hit):
@@ -160,12 +186,16 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``docs(doc_id, text)``, ``items(item_id, text)``; null and empty texts share
     nothing; rows that repeat an id are judged together under it; null ids are
-    kept as such; other columns are not read.  Only windows that pass the screen
-    are shuffled; a window that very many texts hold meets one row for each item
+    kept as such; other columns are not read.  Items without words share nothing;
+    one of a few words is in every text that holds them, so items that are no
+    evidence must be taken out before.  Texts are read with the masks of the item
+    lengths there are.  Only windows that pass the screen are shuffled; a window that very many texts hold meets one row for each item
     that has it, in a plain join that adaptive execution splits.
     """
     keys = materialize(item_seeds(items), "seeds")
-    hits = text_hits(docs, screen_table(keys.select("key")))
+    lengths = [row.needed for row in keys.select("needed").distinct().collect()]  # MIN_WORDS at most
+    used = dict.fromkeys(mask for n in sorted(lengths) for mask in masks(n))
+    hits = text_hits(docs, screen_table(keys.select("key")), used)
     matched = hits.join(keys, "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
