@@ -1674,6 +1674,81 @@ def b4_smote(spark, sf):
     )
 
 
+def between_sql(entries: str, entry: str, weight: str) -> list[str]:
+    """Points between minority rows of sparse ``entries (id, entry, weight)``:
+    ``made (id, entry, w)``, from the pairs of all rows."""
+    return [
+        "cand AS (SELECT a AS query_id, b AS train_id, "
+        + o.euclid("dot", "na", "nb")
+        + " AS distance FROM pairs JOIN docs x ON x.id = a JOIN docs y ON y.id = b "
+        "WHERE x.label = 1 AND y.label = 1 AND a <> b)",
+        o.ranked("1", 5).replace("PARTITION BY 1, ", "PARTITION BY "),
+        "minority AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', 42, 'base', id)), id) - 1 "
+        "AS slot FROM docs WHERE label = 1)",
+        "size AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n0 FROM docs)",
+        "new AS (SELECT j, "
+        f"{o.hash32('42', chr(39) + 'row' + chr(39), 'j')} % n1 AS slot, "
+        f"{o.hash32('42', chr(39) + 'rank' + chr(39), 'j')} % greatest(1, least(5, n1 - 1)) + 1 AS pick, "
+        f"{o.hash32('42', chr(39) + 'alpha' + chr(39), 'j')} / 4294967296.0::DOUBLE AS alpha "
+        "FROM (SELECT unnest(range(n0 - n1)) AS j, n1 FROM size))",
+        "chosen AS (SELECT -1 - j AS new_id, alpha, a.id AS base_id, near.train_id AS other_id FROM new "
+        "JOIN minority a USING (slot) JOIN near ON near.query_id = a.id AND near.rank = pick)",
+        f"made AS (SELECT new_id AS id, entry, sum(w) AS w FROM (SELECT new_id, {entry} AS entry, "
+        f"(1 - alpha) * {weight} AS w FROM chosen JOIN {entries} e ON e.id = base_id UNION ALL "
+        f"SELECT new_id, {entry}, alpha * {weight} FROM chosen JOIN {entries} e ON e.id = other_id) GROUP BY ALL)",
+    ]
+
+
+MADE = (
+    "SELECT id, count(*) AS n_entries, round(sum(w), 5) AS total, round(sum(w * w), 5) AS squares "
+    "FROM made GROUP BY id"
+)
+
+
+def made_summary(entries: DataFrame, value: str) -> DataFrame:
+    return entries.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_entries"), F.round(F.sum(value), 5).alias("total"),
+        F.round(F.sum(F.col(value) * F.col(value)), 5).alias("squares"),
+    )
+
+
+@query("b4_smote_sparse", o.sql([POOL, o.counts(), o.raw_pairs(), *between_sql("counts", "term", "tf")], MADE))
+def b4_smote_sparse(spark, sf):
+    """Synthetic rows of term counts: one entry for each term of either end."""
+    docs = labelled(spark, sf, pooled=True)
+    rows = materialize(postings.count_vectors(docs, ["id", "label"]), "vectors")
+    made = imbalance.smote(rows).where("synthetic")
+    entries = made.select("id", F.inline(F.arrays_zip("terms", "weights")).alias("term", "w"))
+    return made_summary(entries, "w")
+
+
+SLOT_PAIRS = """slot_sq AS (SELECT d.id, coalesce(sum(v * v), 0)::DOUBLE AS n FROM docs d
+  LEFT JOIN drawn_slots USING (id) GROUP BY d.id),
+slot_dots AS (SELECT x.id AS a, y.id AS b, sum(x.v * y.v) AS dot FROM drawn_slots x JOIN drawn_slots y
+  USING (slot) JOIN docs p ON p.id = x.id AND p.label = 1 JOIN docs q ON q.id = y.id AND q.label = 1 GROUP BY ALL),
+pairs AS (SELECT p.id AS a, q.id AS b, coalesce(dot, 0) AS dot, p.n AS na, q.n AS nb
+  FROM slot_sq p CROSS JOIN slot_sq q LEFT JOIN slot_dots s ON s.a = p.id AND s.b = q.id)"""
+
+
+@query(
+    "b4_smote_slots",
+    o.sql(
+        [POOL, o.counts(), draw_sql("counts", 7), SLOT_PAIRS, *between_sql("drawn_slots", "slot", "v")],
+        MADE.replace("FROM made", "FROM made WHERE abs(w) > 1e-9"),
+    ),
+)
+def b4_smote_slots(spark, sf):
+    """Synthetic rows of projected counts: the form of the default model."""
+    docs = labelled(spark, sf, pooled=True)
+    rows = materialize(postings.count_vectors(docs, ["id", "label"]), "vectors")
+    n_terms = rows.select(F.explode("terms")).distinct().count()
+    dim = projection.jl_dim(rows.count(), 0.3)
+    projected = materialize(projection.project_vectors(projection.spread(rows), dim, n_terms, 7), "vectors")
+    made = imbalance.smote(projected).where("synthetic")
+    entries = projection.slot_values(made, ["id"])
+    return made_summary(entries.where("abs(value) > 1e-9"), "value")
+
+
 @query(
     "b5_smote_no_need",
     o.sql([EMB], "SELECT label, count(*) AS n, 0 AS n_new FROM (SELECT 1 - label AS label "
