@@ -46,7 +46,7 @@ _WIDTH = 2 * REACH + max(map(len, MASKS))
 
 def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     found = _WORD.findall(text.lower()) if text else ()
-    return np.array([hashes[w] for w in found], np.uint64)
+    return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
 
 
 @cache
@@ -75,10 +75,7 @@ def seeds(h: np.ndarray, used: Iterable[str] = MASKS) -> Iterator[tuple[np.ndarr
             if read == "1":
                 value = (value ^ h[k : k + places]) * np.uint64(0x9E3779B97F4A7C15)
                 value ^= value >> np.uint64(29)
-        value, at = mix(value), np.arange(places)
-        if "0" not in mask and len(mask) < min(map(len, MASKS)):  # equal as a whole: once a text
-            value, at = np.unique(value, return_index=True)
-        yield value, at
+        yield mix(value), np.arange(places)
 
 
 def around(h: np.ndarray, at: int) -> bytes:
@@ -160,16 +157,27 @@ def text_hits(docs: DataFrame, table: np.ndarray, used: Iterable[str] = MASKS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WordHashes(), shared.value
         for batch in parts(batches):
+            # All texts of a slice at once; windows over the end of a text go.
+            own = [word_hashes(text, hashes) for text in batch.column(1).to_pylist()]
+            sizes = np.array([len(h) for h in own], np.int64)
+            ends = np.cumsum(sizes)
+            every = np.concatenate(own) if own else np.zeros(0, np.uint64)
             keys, rows, near = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                h = word_hashes(text, hashes)
-                for values, places in seeds(h, used):
+            for mask in used:
+                for values, places in seeds(every, (mask,)):
                     b = values >> np.uint64(64 - SCREEN_BITS)
                     hit = np.flatnonzero((bits[b >> np.uint64(5)] >> (b & np.uint64(31)).astype(np.uint32)) & 1)
-                    if len(hit):
-                        keys.append(values[hit].view(np.int64))
-                        rows += [row] * len(hit)
-                        near += [around(h, p) for p in places[hit]]
+                    at = places[hit]
+                    row = np.searchsorted(ends, at, side="right")
+                    inside = at + len(mask) <= ends[row]
+                    found, row, at = values[hit[inside]], row[inside], at[inside]
+                    if "0" not in mask and len(mask) < min(map(len, MASKS)):  # equal as a whole: once a text
+                        _, first = np.unique(np.stack([row.astype(np.uint64), found]), axis=1, return_index=True)
+                        found, row, at = found[first], row[first], at[first]
+                    if len(found):
+                        keys.append(found.view(np.int64))
+                        rows += row.tolist()
+                        near += [around(own[r], p) for r, p in zip(row, at - ends[row] + sizes[row], strict=True)]
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(keys)), pa.array(near, pa.binary())],
@@ -189,8 +197,9 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     kept as such; other columns are not read.  Items without words share nothing;
     one of a few words is in every text that holds them, so items that are no
     evidence must be taken out before.  Texts are read with the masks of the item
-    lengths there are.  Only windows that pass the screen are shuffled; a window that very many texts hold meets one row for each item
-    that has it, in a plain join that adaptive execution splits.
+    lengths there are.  Only windows that pass the screen are shuffled; a window that
+    very many texts hold meets one row for each item that has it, in a plain join
+    that adaptive execution splits.
     """
     keys = materialize(item_seeds(items), "seeds")
     lengths = [row.needed for row in keys.select("needed").distinct().collect()]  # MIN_WORDS at most
