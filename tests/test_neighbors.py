@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremolo.operators import neighbors, projection
+from tremolo.operators import _block_kernel, neighbors, projection
 
 
 @pytest.fixture
@@ -236,3 +236,39 @@ def test_plan_broadcasts_no_vectors_and_caps_before_the_merge(spark):
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_copies_of_a_block_are_few_compressed_rows(spark):
+    """Rows that lie together move as one row, in less space than their vectors."""
+    m = matrix(400, 60, 10)
+    df = frame(spark, m, "terms").coalesce(1)
+    pairs = neighbors._Pairs(df, df, [], F.size("terms"), ["terms", "weights"], ["label"], ["label"])
+    sizes = pairs.t.where("_qb = 0").selectExpr("octet_length(rows) + octet_length(names) AS n").collect()
+    plain = sum(int((v != 0).sum()) for v in m) * 16
+    assert len(sizes) <= neighbors.TRAIN_SPREAD and sum(r.n for r in sizes) < plain / 2
+
+
+@pytest.mark.parametrize("form", ["terms", "slots", "vec"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_tiles_agree_with_one_matrix(spark, monkeypatch, form, exclude_self):
+    """The distances of a block pair are held a tile at a time."""
+    table = frame(spark, matrix(40, 12, 11), form).toArrow()
+    held = []
+    whole = _block_kernel.distances
+    monkeypatch.setattr(_block_kernel, "distances", lambda d, *a: held.append(d.shape) or whole(d, *a))
+    one = _block_kernel._nearest(table, table, 3, "euclidean", exclude_self)
+    monkeypatch.setattr(_block_kernel, "TILE_ROWS", 7)
+    held.clear()
+    tiled = _block_kernel._nearest(table, table, 3, "euclidean", exclude_self)
+    assert max(max(shape) for shape in held) <= 7
+    for a, b in zip(one, tiled):
+        assert np.allclose(a, b)
+
+
+def test_texts_are_not_indexed_by_pivots(spark, monkeypatch):
+    """Their distances to a pivot are alike, so every block would be met."""
+    monkeypatch.setattr(neighbors, "PRUNE_FROM", 10)
+    monkeypatch.setattr(neighbors, "_indexed", lambda *args: pytest.fail("indexed"))
+    m = matrix(30, 12, 12)
+    near = neighbors.knn_join(frame(spark, m, "terms"), frame(spark, m, "terms"), 2)
+    same(collected(near), sorted(brute(m, range(30), range(30), 2, "cosine")))

@@ -134,3 +134,20 @@ def test_tiny_distances_are_not_zero(spark):
     got = collected(near)
     assert [(r[1], r[2]) for r in sorted(got, key=lambda r: r[2])] == [(2, 1), (1, 2)]
     assert 1e-11 < max(r[-1] for r in got) < 5e-11
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_rows_without_clusters_are_not_copied_to_every_block(spark, small_index, monkeypatch, metric):
+    """A query that too few blocks can be left out for meets all rows in the plain join."""
+    monkeypatch.setattr(pivot_index, "MOST_TARGETS", 2)
+    m = matrix(80, 12, 10)
+    df = frame(spark, m, "vec")
+    index = pivot_index.PivotIndex(df.selectExpr("0 AS g", "id", "vec"), ["vec"], metric, ["g"])
+    routed = index.routed(df.selectExpr("0 AS g", "id", "vec"), 3)
+    assert routed.where("targets IS NULL").count() > 0
+    assert routed.where("size(targets) > 2").count() == 0
+    near = neighbors.knn_join(df, df, 3, metric=metric, index="pivots", exclude_self=True)
+    want = []
+    for q in range(80):
+        want += brute(m, [q], [t for t in range(80) if t != q], 3, metric)
+    same(collected(near), sorted(want))

@@ -94,3 +94,20 @@ def test_wrong_uses_are_errors(spark):
         neighbors.knn_join(frame(spark, m, "vec"), frame(spark, m, "vec"), 2, index="terms")
     with pytest.raises(Exception, match="not negative"):
         neighbors.knn_join(df, frame(spark, -m, "terms"), 2, index="terms").collect()
+
+
+def test_queries_of_many_blocks_meet_all_rows_once(spark, small_index, monkeypatch):
+    monkeypatch.setattr(term_index, "MOST_TARGETS", 1)
+    monkeypatch.setattr(term_index, "MOST_ENTRIES", 12)
+    m = topics(6, 12, 6)
+    df = frame(spark, m, "terms")
+    flat = df.selectExpr("0 AS g", "id", "terms", "weights")
+    index = term_index.TermIndex(flat, ["g"])
+    asked = index.asked(flat)
+    homes = index.homes(asked)
+    floors = flat.selectExpr("g", "id", "0.2D AS floor")
+    targets, wide = index._split(index.rated(asked, floors), homes)
+    assert wide.count() > 0
+    assert targets.groupBy("id").count().where("count > 1").count() == 0
+    near = neighbors.knn_join(df.where("id < 30"), df.where("id >= 20"), 4, index="terms")
+    same(collected(near), sorted(brute(m, range(30), range(20, 72), 4, "cosine")))
