@@ -295,3 +295,44 @@ def test_all_bits_of_a_code_choose_slots():
             slots = {(a * (x >> 30) + e * (x & (2**30 - 1)) + b) % PRIME % 1000 for x in codes}
             signs = [(c * (x & (2**30 - 1)) + f * (x >> 30) + d) % PRIME & 1 for x in codes]
             assert len(slots) > 290 and 140 < sum(signs) < 260
+
+
+def test_cells_are_tested_once_for_each_term(spark):
+    """Not once for each posting; values as by hand."""
+    import hashlib
+    import math
+
+    from tremolo.operators import projection
+
+    rows = [(i, f"t{j}", (i + j) % 3 + 1) for i in range(30) for j in range(i % 4, 12)]
+    counts = spark.createDataFrame(rows, "id BIGINT, term STRING, tf BIGINT")
+    found = projection.cell_tests(counts, ["id"], "tf", 8, 12, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan  # done when the terms' cells were written
+    want = {}
+    for i, term, tf in rows:
+        for slot in range(8):
+            h = hashlib.md5(f"5|{term}|{slot}".encode()).hexdigest()
+            if int(h[:8], 16) < 2**32 / math.sqrt(12):
+                sign = 1 if h[8] < "8" else -1
+                want[i, slot] = want.get((i, slot), 0.0) + sign * tf * math.sqrt(math.sqrt(12) / 8)
+    got = {(r.id, r.slot): r.value for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_many_small_files_are_listed_by_folder_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    from tremolo.plans import queries
+    from tremolo.sources import text_folders
+
+    rows = [(f"p{i % 3}", f"text {i}") for i in range(700)]
+    texts = spark.createDataFrame(rows, "project STRING, text STRING").coalesce(1)
+    monkeypatch.setattr(queries, "whole", lambda *args: texts)
+    globs = []
+    read = text_folders.read_texts
+    monkeypatch.setattr(text_folders, "READ_TASKS", 1)
+    monkeypatch.setattr(text_folders, "read_texts", lambda s, path: globs.append(path) or read(s, path))
+    row = queries.s1_read_all_texts(spark, "").first()
+    assert tuple(row) == (700, sum(len(t) + 1 for _, t in rows))
+    assert globs[0].endswith("/project=*")
+    assert read(spark, globs[0]).rdd.getNumPartitions() <= 4

@@ -24,13 +24,32 @@ NON_FLAKY_FOLDER = "nonFlakyMethods"
 SAMPLE_PATH = r"([^/]+)/(case[^/]+)/(f|nf)\.(.+)\.([^./]+)$"
 
 
+# Tasks for each partition of a shuffle that read files.  Spark counts a file as 4 MB
+# at least, which makes a task of every 32 small ones.
+READ_TASKS = 4
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """All files of a folder (or glob): ``(path, text)``.
 
-    The path is the identity of a row, so listing order means nothing.
+    The path is the identity of a row, so listing order means nothing.  A glob of
+    folders is listed folder by folder; one of files is looked up file by file.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    return files.load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    n = READ_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = files.load(path).coalesce(n)
+    return found.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def write_texts(texts: DataFrame, folder: str, folders: list[str]) -> None:
+    """Write ``texts(*folders, text)`` as one file per text, in a folder for each value
+    of ``folders``.  Making a file costs more than its bytes, so the texts are dealt to
+    many tasks, which put their own files in place: the driver would move them one by
+    one."""
+    version = "mapreduce.fileoutputcommitter.algorithm.version"
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = texts.repartition(n).write.partitionBy(*folders).option("maxRecordsPerFile", 1)
+    writer.option(version, "2").text(folder)
 
 
 def pack(texts: DataFrame, folder: str) -> None:
