@@ -272,3 +272,47 @@ def test_texts_are_not_indexed_by_pivots(spark, monkeypatch):
     m = matrix(30, 12, 12)
     near = neighbors.knn_join(frame(spark, m, "terms"), frame(spark, m, "terms"), 2)
     same(collected(near), sorted(brute(m, range(30), range(30), 2, "cosine")))
+
+
+def test_blocks_are_as_large_as_memory_allows(spark):
+    """Rows are copied once per block of the other side (and part of the settings), so
+    units that parallelism does not ask for only add to the shuffle."""
+    df = spark.range(40000).selectExpr("id", "array('a') AS terms", "array(1D) AS weights", "0 AS label")
+    pairs = neighbors._Pairs(df, df, [], F.size("terms"), ["terms", "weights"], ["label"], ["label"], 8)
+    assert pairs.t.select(*pairs.key).distinct().count() <= neighbors.UNITS
+
+
+@pytest.mark.parametrize("form", ["terms", "slots", "vec"])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_later_tiles_are_measured_within_the_bound_only(spark, monkeypatch, form, metric):
+    """What a first tile found leaves few pairs to measure; ties and splits stay right."""
+    m = np.repeat(matrix(30, 12, 13), 3, axis=0)  # many ties
+    table = frame(spark, m, form).toArrow()
+    test_in = np.array([[i % 2 == s for i in range(90)] for s in (0, 1)])
+    whole = _block_kernel._nearest(table, table, 4, metric, False, test_in, ~test_in)
+    measured = []
+    every = _block_kernel._measured
+    monkeypatch.setattr(_block_kernel, "_measured", lambda d, *a: measured.append(d.size) or every(d, *a))
+    monkeypatch.setattr(_block_kernel, "TILE_ROWS", 10)
+    tiled = _block_kernel._nearest(table, table, 4, metric, False, test_in, ~test_in)
+    assert sum(measured) < 0.6 * 90 * 90
+    by_place = [np.lexsort((x[2], x[3], x[1], x[0])) for x in (whole, tiled)]
+    for a, b in zip(whole, tiled):
+        assert np.allclose(a[by_place[0]], b[by_place[1]])
+
+
+def test_single_precision_names_every_near_pair():
+    rng = np.random.default_rng(14)
+    near = rng.normal(size=(1, 50)) + 1e-5 * rng.normal(size=(60, 50))  # closer than its rounding
+    far = rng.normal(size=(400, 50))
+    a, b = _block_kernel._Matrix(near[:20]), _block_kernel._Matrix(np.vstack([near[20:], far])[:410])
+    exact = _block_kernel.distances(a.values @ b.values.T, a.squares, b.squares, "cosine")
+    for rank in (0, 3):
+        bound = np.sort(exact, axis=1)[:, rank] + 1e-12
+        monkey = _block_kernel._nearer_directions(a, b, bound)
+        if monkey is None:  # too many to check one by one
+            continue
+        want = {(q, t) for q, t in zip(*np.nonzero(exact < bound[:, None]))}
+        assert set(zip(monkey[0].tolist(), monkey[1].tolist())) == want
+    shown = _block_kernel._nearer_directions(a, _block_kernel._Matrix(np.vstack([near[20:22], far])), np.full(20, 0.5))
+    assert set(shown[1].tolist()) >= {0, 1} and len(shown[0]) < 20 * 402 * _block_kernel.RECHECKED
