@@ -316,3 +316,29 @@ def test_single_precision_names_every_near_pair():
         assert set(zip(monkey[0].tolist(), monkey[1].tolist())) == want
     shown = _block_kernel._nearer_directions(a, _block_kernel._Matrix(np.vstack([near[20:22], far])), np.full(20, 0.5))
     assert set(shown[1].tolist()) >= {0, 1} and len(shown[0]) < 20 * 402 * _block_kernel.RECHECKED
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_large_groups_give_each_query_one_list(spark, small_blocks, monkeypatch, metric):
+    """Training blocks are read one after the other, so neither rows nor lists of k are
+    made once per pair of blocks; rows of equal distance in many blocks stay in order."""
+    m = np.repeat(matrix(45, 12, 15), 4, axis=0)
+    df = frame(spark, m, "terms", g=lambda i: "large" if i < 170 else "small")
+    found, whole = [], neighbors.top_k
+    monkeypatch.setattr(neighbors, "top_k", lambda c, *args: found.append(c) or whole(c, *args))
+    near = neighbors.knn_join(df, df, 3, metric=metric, by=["g"])
+    want = [("large", *r) for r in brute(m, range(170), range(170), 3, metric)]
+    want += [("small", *r) for r in brute(m, range(170, 180), range(170, 180), 3, metric)]
+    same(collected(near, "g"), sorted(want))
+    assert found[0].where("g = 'large'").count() == 170 * 3
+
+
+def test_large_groups_are_written_once(spark, small_blocks, monkeypatch):
+    df = frame(spark, matrix(150, 12, 16), "terms")
+    packed, whole = [], neighbors._packed
+    monkeypatch.setattr(neighbors, "_packed", lambda *args: packed.append(whole(*args)) or packed[-1])
+    written, keep = [], neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda t, *a, **kw: written.append(keep(t, *a, **kw)) or written[-1])
+    assert neighbors.knn_join(df, df, 2).count() == 300
+    blocks = [t for t in written if "rows" in t.columns]
+    assert len(blocks) == 1 and blocks[0].count() == packed[0].count()
