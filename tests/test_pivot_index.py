@@ -151,3 +151,21 @@ def test_rows_without_clusters_are_not_copied_to_every_block(spark, small_index,
     for q in range(80):
         want += brute(m, [q], [t for t in range(80) if t != q], 3, metric)
     same(collected(near), sorted(want))
+
+
+def test_pivots_do_not_go_to_every_block(spark, small_index, monkeypatch):
+    """They go to parts of the queries: with small blocks, a copy for each block would be
+    more than the rows themselves."""
+    monkeypatch.setattr(pivot_index, "MAX_PIVOTS", 40)
+    monkeypatch.setattr(pivot_index, "QUERY_ROWS", 100)
+    met, whole = [], pivot_index._units
+    monkeypatch.setattr(pivot_index, "_units", lambda left, right, *args: met.append(right) or whole(left, right, *args))
+    rng = np.random.default_rng(31)
+    rows = [(0, i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 3)))]
+    df = spark.createDataFrame(rows, "g INT, id BIGINT, vec ARRAY<DOUBLE>")
+    index = pivot_index.PivotIndex(df, ["vec"], "euclidean", ["g"])
+    pivots = index.pivots.count()
+    met.clear()
+    assert index.routed(df, 3).count() == 200
+    beside = [right.count() for right in met if "pivot" in right.columns]
+    assert pivots > 5 and sum(beside) <= 2 * pivots * -(-200 // pivot_index.QUERY_ROWS)
