@@ -314,3 +314,30 @@ def test_license_twin(spark):
     want = con.execute(queries.OP3_SQL).fetchall()
     got = licenses.scan(docs).withColumn("line_licenses", F.array_join("line_licenses", ","))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_fitting_the_field_holds_few_numbers_a_name():
+    """pipeline, op1_toxicity: steps of one row of weights are dropped before the next."""
+    import tracemalloc
+
+    from tremolo.llm import crf_toxicity
+
+    texts = [" ".join(f"{chr(97 + i % 26)}x{i * 40 + j}y{j}" for j in range(40)) for i in range(250)]
+    texts = [t + (" vile" if i % 2 else " mild") for i, t in enumerate(texts)]
+    tracemalloc.start()
+    model = crf_toxicity.learn(texts, [i % 2 for i in range(250)], epochs=2, marking={b"vile"})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(model.names) < 300
+
+
+def test_terms_of_a_word_are_made_once():
+    from tremolo.llm import crf_toxicity
+
+    known = crf_toxicity._WordTerms()
+    assert set(known[b"(vilest)"]) == {b"vil", b"vile", b"viles", b"vilest"}
+    assert known[b"(vilest)"] is known[b"(vilest)"]
+    known.LIMIT = 2
+    for word in (b"a", b"b", b"c"):
+        assert known[word] == (word,)
+    assert len(known) <= 2

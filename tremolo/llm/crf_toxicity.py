@@ -225,6 +225,18 @@ def token_labels(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
     return {w for w, a in seen[True].items() if w and _marks(a, seen[False][w], n_toxic, n_clean)}
 
 
+class _WordTerms(dict):
+    """word → its terms, each once, kept up to a bound; a pure function of the word."""
+
+    LIMIT = 50_000
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = tuple(set(_terms(word)))
+        return value
+
+
 def _marks(a: int, b: int, n_toxic: int, n_clean: int) -> bool:
     """Whether a term of ``a`` toxic and ``b`` clean texts marks."""
     share = (a + b) / (n_toxic + n_clean)
@@ -265,7 +277,8 @@ def learn(texts: list[str], toxic: list[int], epochs: int = 40, marking: set[byt
         return Model({}, np.zeros((1, 3), np.float32), transition, document)
     marked = np.array([not marking.isdisjoint(_terms(w)) for w in types])
     names: dict[bytes, int] = {}
-    of_type = np.array([[names.setdefault(f, len(names)) for f in features(w, marking)] for w in types], np.int32)
+    numbers = (names.setdefault(f, len(names)) for w in types for f in features(w, marking))
+    of_type = np.fromiter(numbers, np.int32, len(types) * _FEATURES).reshape(-1, _FEATURES)
     kinds, n = len(types), int(sizes.sum())
     del types
     groups = []  # texts in order, about ``_FIT_TOKENS`` a group
@@ -288,7 +301,9 @@ def learn(texts: list[str], toxic: list[int], epochs: int = 40, marking: set[byt
             odds += weights[:, of_type[:, j]]
         return odds
 
-    by_weight, by_transition = _Adam(0.3), _Adam(0.1)
+    # Each of the three rows of weights has steps of its own, so that those of one are
+    # made and dropped before the next: the names are the greatest table here.
+    by_weight, by_transition = [_Adam(0.3) for _ in weights], _Adam(0.1)
     for _ in range(epochs):
         odds, per_type, expected = type_odds(), np.zeros((3, kinds)), np.zeros((2, 2))
         for _, ids, starts, truth in groups:
@@ -301,11 +316,11 @@ def learn(texts: list[str], toxic: list[int], epochs: int = 40, marking: set[byt
                 per_type[k] += np.bincount(ids, part, minlength=kinds)
             if not starts.all():
                 expected += chain.expected_transitions()
-        gradient = np.zeros_like(weights)
-        for k in range(3):
+        for k, adam in enumerate(by_weight):
+            gradient = np.zeros(len(names))
             for j in range(of_type.shape[1]):
-                gradient[k] += np.bincount(of_type[:, j], per_type[k], minlength=len(names))
-        weights += by_weight.step((gradient - 0.5 * weights) / n)
+                gradient += np.bincount(of_type[:, j], per_type[k], minlength=len(names))
+            weights[k] += adam.step((gradient - 0.5 * weights[k]) / n)
         transition += by_transition.step((seen - expected - 0.5 * transition) / n)
     odds, x = type_odds(), np.zeros((len(sizes), 3))
     for at, ids, starts, _ in groups:
@@ -364,20 +379,20 @@ def marking_terms(texts: DataFrame) -> set[bytes]:
     """Terms that mark (``token_labels``) by their shares in all labelled texts.  Counts
     are added up in tasks first; only terms that mark come to the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        seen, terms = (Counter(), Counter()), _WordTerms()
 
         def out() -> pa.RecordBatch:
-            a, b = (pa.array([n[k] for n in seen.values()], pa.int64()) for k in (1, 0))
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), a, b], ["term", "a", "b"])
+            named = list(seen[0] | seen[1])
+            a, b = (pa.array([seen[k][t] for t in named], pa.int64()) for k in (1, 0))
+            return pa.RecordBatch.from_arrays([pa.array(named, pa.binary()), a, b], ["term", "a", "b"])
 
         for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term in {t for w in set(words(text)) for t in _terms(w)}:
-                    seen.setdefault(term, [0, 0])[toxic] += 1
-                if len(seen) >= _TERMS_HELD:
+                seen[toxic].update({t for w in set(words(text)) for t in terms[w]})
+                if len(seen[0]) + len(seen[1]) >= _TERMS_HELD:
                     yield out()
-                    seen.clear()
-        if seen:
+                    seen[0].clear(), seen[1].clear()
+        if seen[0] or seen[1]:
             yield out()
 
     total = texts.select("text", "toxic").mapInArrow(count, "term binary, a long, b long").groupBy("term").agg(
@@ -406,7 +421,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed) -> Model:
     marking = marking_terms(texts)
     rows = training_texts(texts).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
-    return learn([r.text for r in rows], [r.toxic for r in rows], marking=marking)
+    texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
+    del rows
+    return learn(texts, toxic, marking=marking)
 
 
 class Scorer:
