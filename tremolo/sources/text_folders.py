@@ -11,6 +11,12 @@ the files.  ``read_projects`` and ``read_samples`` read either form alike.
 
 from __future__ import annotations
 
+import sys
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +48,48 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, folder: str, folders: list[str]) -> None:
-    """Write ``texts(*folders, text)`` as one file per text, in a folder for each value
-    of ``folders``.  Making a file costs more than its bytes, so the texts are dealt to
-    many tasks, which put their own files in place: the driver would move them one by
-    one."""
-    version = "mapreduce.fileoutputcommitter.algorithm.version"
+    """Write ``texts(*folders, text)`` as one file per text, ended by a line break, in a
+    folder for each value of ``folders``, named as Spark names those of a partitioned table.
+
+    A writer of Spark's makes, checks, moves and commits every file, which costs far more
+    than its bytes.  The tasks put them in place themselves; a repeated task writes the
+    same files once more."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    writer = texts.repartition(n).write.partitionBy(*folders).option("maxRecordsPerFile", 1)
-    writer.option(version, "2").text(folder)
+    rows = texts.select(*(F.col(c).cast("string").alias(c) for c in folders), "text").repartition(n)
+    run = uuid.uuid4().hex
+
+    def write(batches):
+        yield _write_batches(batches, folder, folders, run)
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+#: What Spark escapes in the name of a partition's folder.
+_ESCAPED = {chr(c): f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder_name(column: str, value: str | None) -> str:
+    def escaped(name: str) -> str:
+        return "".join(_ESCAPED.get(c, c) for c in name)
+
+    return f"{escaped(column)}={escaped(value) if value else _NO_VALUE}"
+
+
+def _write_batches(batches, folder: str, folders: list[str], run: str) -> pa.RecordBatch:
+    system, root = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else "file://" + folder)
+    part, made, n = TaskContext.get().partitionId(), set(), 0
+    for batch in batches:
+        *values, texts = (batch.column(c).to_pylist() for c in (*folders, "text"))
+        for *names, text in zip(*values, texts):
+            place = "/".join([root, *map(_folder_name, folders, names)])
+            if place not in made:
+                system.create_dir(place, recursive=True)
+                made.add(place)
+            with system.open_output_stream(f"{place}/part-{part:05d}-{run}-{n}.txt") as out:
+                out.write(f"{text or ''}\n".encode())
+            n += 1
+    return pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
 
 def pack(texts: DataFrame, folder: str) -> None:
@@ -162,3 +202,7 @@ def paired_samples(samples: DataFrame) -> DataFrame:
         )
 
     return side(1, "flaky_").join(side(0, "stable_"), keys)
+
+
+# Workers get these functions by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
